@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from relictum.llm import shared
-from relictum.llm.tokens import encoder
+from relictum.llm.tokens import encoder, groups
 
 SIZE, OPEN, END = 1024, 64, 0
 VOCABULARY = "byte_bpe_50k.json"
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = OPEN, vocabulary: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        encode, packer = encoder(vocabulary, folder).ids, Packer(size, windows)
+        encode, packer = encoder(vocabulary, folder).batch, Packer(size, windows)
         out: list[tuple] = []
         held = 0
 
@@ -108,9 +108,9 @@ def pack(docs: DataFrame, size: int = SIZE, windows: int = OPEN, vocabulary: str
             return pa.RecordBatch.from_arrays(arrays, names=NAMES + ["ids"] * with_ids)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py()), np.uint32(end)).astype(np.uint32)
-                for piece in packer.add(doc.as_py(), ids):
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, ids in zip(docs, (ids for own in groups(texts) for ids in encode(own)), strict=True):
+                for piece in packer.add(doc, np.append(ids, np.uint32(end))):
                     out.append(piece)
                     held += len(piece[2])
                     if held > 1_000_000:

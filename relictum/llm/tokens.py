@@ -16,8 +16,8 @@ import regex
 
 #: Chunks kept by a worker, and the longest chunk kept.
 WORDS, LONGEST = 600_000, 48
-#: Chunks of a text, and new chunks, handled at once.
-STRETCH, TOGETHER = 100_000, 2_000
+#: New chunks encoded in one call.
+TOGETHER = 2_000
 #: Words as byte-level BPE splits them (public GPT-2 pattern, a fixed value).
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -52,32 +52,36 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         """uint32 ids of the text (null: empty), without special tokens added."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if self.odd(text):
-            return np.frombuffer(self.joined(self.split(text), self.known, ""), "<u4")
-        if self.bytes:
-            chunks = text.split(" ")
-            return np.frombuffer(self.joined(chunks[:1], self.known, "") + self.joined(chunks[1:], self.after, " "), "<u4")
-        return np.frombuffer(self.joined(text.split(), self.known, ""), "<u4")
-
-    def joined(self, chunks: list[str], known: dict[str, bytes], before: str) -> bytes:
-        out = []
-        for at in range(0, len(chunks), STRETCH):
-            own = chunks[at : at + STRETCH]
-            new = [w for w in set(own) if w not in known]
-            if new:
-                if len(known) + len(new) > WORDS:
-                    known.clear()
-                    new = list(set(own))
-                self.learn(new, known, before)
-            out.append(b"".join([known[w] for w in own]))
-            for w in new:
-                if len(w) > LONGEST:
-                    del known[w]
-        return b"".join(out)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """ids of each text; new chunks of all texts are encoded together."""
+        cut: list[list[tuple[list[str], dict, str]] | np.ndarray] = []
+        for text in texts:
+            if not text:
+                cut.append(np.zeros(0, np.uint32))
+            elif any(x in text for x in self.special):
+                cut.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+            elif self.odd(text):
+                cut.append([(self.split(text), self.known, "")])
+            elif self.bytes:
+                chunks = text.split(" ")
+                cut.append([(chunks[:1], self.known, ""), (chunks[1:], self.after, " ")])
+            else:
+                cut.append([(text.split(), self.known, "")])
+        long: list[tuple[str, dict]] = []
+        for known, before in ((self.known, ""), (self.after, " ")):
+            mine = set().union(*[x[0] for c in cut if isinstance(c, list) for x in c if x[1] is known])
+            new = [w for w in mine if w not in known]
+            if len(known) + len(new) > WORDS:
+                known.clear()
+                new = list(mine)
+            self.learn(new, known, before)
+            long += [(w, known) for w in new if len(w) > LONGEST]
+        out = [c if isinstance(c, np.ndarray) else np.frombuffer(b"".join([known[w] for own, known, _ in c for w in own]), "<u4") for c in cut]
+        for w, known in long:
+            del known[w]
+        return out
 
     def learn(self, new: list[str], known: dict[str, bytes], before: str) -> None:
         plain = [w for w in new if self.mark not in w and (before + w).strip()]
@@ -102,3 +106,16 @@ class Encoder:
 def encoder(name: str, folder: str | None = None) -> Encoder:
     """One encoder for each Python worker, so that its table lives on between tasks."""
     return Encoder(name, folder)
+
+
+def groups(texts: list[str | None], size: int = 2_000_000):
+    """Texts in their order, in lists of about `size` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text)
+        n += len(text or "")
+        if n > size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
