@@ -1,0 +1,22 @@
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    from relictum.llm import decontam, logindex, packing, quality, simhash, suffix
+
+    return {
+        "op1_simhash_neardup": simhash.query,
+        "op2_packing": packing.query,
+        "op3_decontamination": decontam.query,
+        "op6_suffix_dedup": suffix.query,
+        "op8_log_index_dedup": logindex.query,
+        "op9_quality_rules": quality.query,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    from relictum.llm import decontam
+
+    return {"op3_decontamination": decontam.SQL}
