@@ -83,7 +83,7 @@ v as (select h, cast('0x' || md5(h)[1:3] as integer) a, cast('0x' || md5(h)[4:6]
 w as (select h, ['adult', 'gambling', 'malware', 'spam'][c % 4 + 1] category, date '2024-01-01' + a % 300 d1, date '2024-01-01' + (a % 300 + 1 + b % 100) d2,
         date '2024-01-01' + (a % 300 + 101 + b % 100) d3, b from v where c % 3 <> 0),
 e as (select h, category, d1 since, d2 until from w union all select h, category, d3, date '9999-12-31' from w where b % 2 = 0),
-s as (select page_id, url, fetched, host, unnest(case when host is null then [null] else list_transform(range(1, len(string_split(host, '.')) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')) end) suffix from p)
+s as (select page_id, url, fetched, host, unnest(case when host is null then [null] else list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) end) suffix from p)
 select page_id, url, fetched, host, count(e.h) n_active, coalesce(string_agg(distinct category, ',' order by category), '') categories, count(e.h) > 0 blocked
 from s left join e on suffix = e.h and fetched >= since and fetched < until group by page_id, url, fetched, host
 """
