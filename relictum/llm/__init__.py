@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relictum.llm import decontam, html, lbl, logindex, packing, quality, simhash, suffix, urlfilter
+from relictum.llm import decontam, html, lbl, logindex, packing, quality, simhash, suffix, tokenstore, urlfilter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_html_extraction": html.query,
         "op8_log_index_dedup": logindex.query,
         "op9_quality_rules": quality.query,
+        "op10_token_store": tokenstore.query,
     }
 
 
