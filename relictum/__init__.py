@@ -1,0 +1 @@
+"""Damage and taxonomy analytics over sequencing alignments, on Spark."""
