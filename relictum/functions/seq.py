@@ -82,10 +82,14 @@ def dust_of(seq: str | None, window: int = TRIPLETS) -> float:
     return 200.0 * best / (window * (window - 1)) if n > window else 200.0 * score / ((n - 1) * n)
 
 
-@F.pandas_udf("double")
-def dust(seq: pd.Series) -> pd.Series:
-    """DUST score of reads of any length."""
-    return seq.map(dust_of)
+def dust(seq) -> Column:
+    """DUST score of reads of any length (Arrow)."""
+
+    @F.pandas_udf("double")
+    def run(reads: pd.Series) -> pd.Series:
+        return reads.map(dust_of)
+
+    return run(_col(seq))
 
 
 def matched_bases(cigar) -> Column:
