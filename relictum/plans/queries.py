@@ -80,7 +80,7 @@ aln as (select l_orderkey qname, l_suppkey tid, cast(1000 + l_suppkey as integer
   (case when l_returnflag = 'R' then 512 else 0 end) + (case when l_returnflag = 'A' then 16 else 0 end) + (case when l_linestatus = 'F' then 1 else 0 end) flag from lineitem),
 sq0 as (select doc_id id, regexp_replace(upper(text), '[^ACGT]', '', 'g')[1:60] seq, doc_id % 7 taxon, case when doc_id % 3 = 0 then 16 else 0 end flag from documents),
 sq as (select *, case when id % 2 = 0 then translate(seq[1:3], 'T', 'C') || seq[4:] else seq end as ref from sq0 where length(seq) >= 10),
-b0 as (select taxon, flag, seq, ref, unnest(range(0, 5)) p from sq),
+b0 as (select taxon, flag, seq, ref, cast(unnest(range(0, 5)) as integer) p from sq),
 b1 as (select taxon, '5p' as "end", p pos, flag, case when flag = 0 then p + 1 else length(seq) - p end i, seq, ref from b0
   union all select taxon, '3p', p, flag, case when flag = 0 then length(seq) - p else p + 1 end, seq, ref from b0),
 mm as (select taxon, "end", pos, case when flag = 0 then ref[i] || seq[i] else translate(ref[i] || seq[i], 'ACGT', 'TGCA') end sub, count(*) w from b1 group by all),

@@ -54,10 +54,10 @@ def read_sam(spark: SparkSession, path: str, ignore_order: bool = False) -> tupl
     refs = refs_frame(spark, head)
     v = F.split("value", "\t")
     tag = lambda name: F.get(F.filter(v, lambda x: x.startswith(name)), F.lit(0))
-    number = lambda name: F.substring_index(tag(name), ":", -1).cast("int")
+    number = lambda name: F.substring_index(tag(name), ":", -1).try_cast("int")
     rows = lines(spark, path).where("value not like '@%' and value <> ''").select(
-        "aln_idx", v[0].alias("qname"), v[1].cast("int").alias("flag"), v[2].alias("rname"), (v[3].cast("int") - 1).alias("pos"), v[4].cast("int").alias("mapq"), v[5].alias("cigar"),
-        F.when(v[6] == "=", v[2]).otherwise(v[6]).alias("mname"), v[9].alias("seq"), v[10].alias("q"), F.substring(tag("MD:Z:"), 6, 1 << 30).alias("md"),
+        "aln_idx", F.get(v, F.lit(0)).alias("qname"), F.get(v, F.lit(1)).try_cast("int").alias("flag"), F.get(v, F.lit(2)).alias("rname"), (F.get(v, F.lit(3)).try_cast("int") - 1).alias("pos"), F.get(v, F.lit(4)).try_cast("int").alias("mapq"), F.get(v, F.lit(5)).alias("cigar"),
+        F.when(v[6] == "=", v[2]).otherwise(v[6]).alias("mname"), F.get(v, F.lit(9)).alias("seq"), F.get(v, F.lit(10)).alias("q"), F.substring(tag("MD:Z:"), 6, 1 << 30).alias("md"),
         number("NM:i:").alias("nm"), number("AS:i:").alias("as_score"),
     )
     rows = rows.withColumn("qual", F.when(F.col("q") == "*", F.array_repeat(F.lit(255), F.length("seq"))).otherwise(F.transform(F.split("q", ""), lambda c: F.ascii(c) - 33)))
