@@ -28,8 +28,8 @@ from relictum.llm import graph, shared
 from relictum.llm.windows import mix
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 7, 42
-#: The pipeline's stage: 5-word shingles, 256 bits. Sets of Jaccard similarity 0.8 differ in about 15 % of the bits.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 40
+#: The pipeline's stage: 5-word shingles, 256 bits. Sets of Jaccard similarity 0.8 differ in 32 to 44 of the bits.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 44
 #: Shards of the 256-bit fingerprint: TABLES times BITS bits drawn at random.
 TABLES, BITS = 48, 20
 
