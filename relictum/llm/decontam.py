@@ -86,6 +86,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 def report(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """One row for each document: its other columns, n_words, n_hit, n_items, items_sha256, contaminated."""
+    made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    docs, back = shared.masked(docs, ["text"], made)
     others = [c for c in docs.columns if c != "text"]
     rows = hits(docs, items, n).groupBy("row_").agg(
         *[F.first(c).alias(c) for c in [*others, "n_words"]],
@@ -97,14 +99,15 @@ def report(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, x: F.struct(F.greatest(a["end"], x["at"] + x["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["at"] + x["m"] - F.greatest(a["end"], x["at"]))).alias("n")),
     )["n"]
-    return rows.select(*others, F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "found"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
+    return rows.select(*back, F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), F.size("found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "found"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The operator: documents without a hit, with the same columns."""
-    keyed = docs.withColumn("rid_", shared.row_id())
-    dirty = hits(keyed.select("rid_", "text"), items, n).where("at is not null").select("rid_").distinct()
-    return keyed.join(shared.table(dirty, "dirty"), "rid_", "left_anti").drop("rid_")
+    rid = shared.free(docs, "rid_")
+    keyed = docs.withColumn(rid, shared.row_id())
+    dirty = hits(keyed.select(F.col(rid).alias("id_"), "text"), items, n).where("at is not null").select(F.col("id_").alias(rid)).distinct()
+    return keyed.join(shared.table(dirty, "dirty"), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

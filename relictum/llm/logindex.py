@@ -123,15 +123,18 @@ def kept_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The operator: text becomes its kept words joined by one space where something was removed, else it stays."""
     columns = docs.columns
-    keyed, spans = find(docs, width)
+    others = [c for c in columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row_"))
+    keyed, spans = find(packed, width)
 
     def finish(text, starts, ends):
         return (kept_words(text, starts, ends)[1].decode() if len(starts) else None,)
 
-    packed = keyed.select("rid", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"))
-    kind = packed.schema["row_"].dataType.simpleString()
-    done = repeats.applied(packed, spans, width, "word", finish, f"row_ {kind}, cut_ string", ["row_"])
-    return done.select(*[(F.coalesce("cut_", "row_.text") if c == "text" else F.col(f"row_.`{c}`")).alias(c) for c in columns])
+    kept = ["doc_id", "text", "row_"]
+    schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in kept)
+    done = repeats.applied(keyed.select("rid", *kept), spans, width, "word", finish, f"{schema}, cut_ string", kept)
+    shown = {"doc_id": F.col("doc_id"), "text": F.coalesce("cut_", "text")} | {c: F.col(f"row_.c{i}") for i, c in enumerate(others)}
+    return done.select(*[shown[c].alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

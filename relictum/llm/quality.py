@@ -24,6 +24,8 @@ ENOUGH, STEPS, SKETCH = 200, 6.0, 200
 #: Least room above the upper quartile, by ratio.
 ROOM = {"symbols": 0.2, "marks": 0.5, "lines": 0.3, "repeats": 0.15, "length": 4.0}
 
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_lines", *ROOM, *(f"most_{r}" for r in ROOM), "base_failed", "kept"]
+
 
 def counts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, source, ..) without text, plus the base counts."""
@@ -94,7 +96,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs without text, plus counts, thresholds, base_failed and kept."""
+    """docs without text, plus counts, ratios, thresholds, base_failed and kept."""
+    docs, back = shared.masked(docs, ["text", "lang", "source"], MADE)
     rows = shared.table(ratios(counts(docs)), "counts")
     limits = shared.table(thresholds(rows), "limits").withColumnsRenamed({"lang": "lang_", "source": "source_"})
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
@@ -102,14 +105,16 @@ def judged(docs: DataFrame) -> DataFrame:
     fine = F.lit(True)
     for r in ROOM:
         fine = fine & (F.col(r) <= F.col(f"most_{r}"))
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))
+    joined = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True)))
+    return joined.select(*back, "lang", "source", *MADE)
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The operator: the documents kept, with the same columns."""
-    keyed = docs.withColumn("rid_", shared.row_id())
-    good = judged(keyed.select("rid_", "text", "lang", "source")).where("kept").select("rid_").distinct()
-    return keyed.join(shared.table(good, "kept"), "rid_", "left_semi").drop("rid_")
+    rid = shared.free(docs, "rid_")
+    keyed = docs.withColumn(rid, shared.row_id())
+    good = judged(keyed.select(F.col(rid).alias("id_"), "text", "lang", "source")).where("kept").select(F.col("id_").alias(rid)).distinct()
+    return keyed.join(shared.table(good, "kept"), rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

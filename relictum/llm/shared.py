@@ -34,6 +34,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def masked(df: DataFrame, kept: list[str], made: list[str]) -> tuple[DataFrame, list]:
+    """df with its columns beside `kept` under names that clash with nothing, and the columns that bring their names back.
+    A column that a result of that name (`made`) replaces is left out."""
+    others = [c for c in df.columns if c not in kept and c not in made]
+    hidden = [f"extra{i}_" for i in range(len(others))]
+    return df.select(*[F.col(f"`{c}`") for c in kept if c in df.columns], *[F.col(f"`{c}`").alias(h) for c, h in zip(others, hidden)]), [F.col(h).alias(c) for c, h in zip(others, hidden)]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def row_id():
     """An id for a row of documents that stands nulls and repeated doc_ids: equal only for equal (doc_id, text)."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -193,9 +193,10 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int
 
 def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
     """The operator: one document of each class stays, that of the smallest doc_id; of equal rows, one. Same columns."""
-    kept = classes(docs, shingle, words, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("one")).select(F.col("one.rid").alias("rid_"))
-    keyed = docs.withColumn("rid_", shared.row_id())
-    return keyed.join(shared.table(kept, "kept"), "rid_", "left_semi").dropDuplicates(["rid_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes(docs, shingle, words, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("one"))
+    rid = shared.free(docs, "rid_")
+    keyed = docs.withColumn(rid, shared.row_id())
+    return keyed.join(shared.table(kept.select(F.col("one.rid").alias(rid)), "kept"), rid, "left_semi").dropDuplicates([rid]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,7 @@ def matched(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """captures(url, fetched, ..) plus host, n_active, categories (sorted, comma-joined) and blocked."""
     entries = shared.table(intervals(changes), "intervals")
     few = entries.count() <= BROADCAST
+    captures, back = shared.masked(captures, ["url", "fetched"], ["host", "n_active", "categories", "blocked"])
     names = captures.columns
     rows = captures.withColumn("host", host(F.col("url"))).withColumn("row_", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
@@ -50,7 +51,7 @@ def matched(captures: DataFrame, changes: DataFrame) -> DataFrame:
         rows = shared.table(rows, "suffixes")
     hit = rows.join(F.broadcast(entries) if few else entries, (rows["suffix_"] == entries["domain"]) & (rows["fetched"] >= entries["since"]) & (rows["fetched"] < entries["until"]), "left")
     out = hit.groupBy("row_").agg(*[F.first(c).alias(c) for c in [*names, "host"]], F.count("domain").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
-    return out.select(*names, "host", "n_active", "categories").withColumn("blocked", F.col("n_active") > 0)
+    return out.select("url", "fetched", *back, "host", "n_active", "categories").withColumn("blocked", F.col("n_active") > 0)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

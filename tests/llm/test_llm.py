@@ -340,5 +340,21 @@ def test_pipeline(spark, docs, folder):
         assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+CLASH = ["rid", "rid_", "row_", "w", "l", "h", "x", "m", "at", "found", "items", "symbols", "n_words", "kept", "host", "domain", "suffix_", "key", "spans", "cut_", "want"]
+
+
+def test_clashing_names(spark, docs, folder):
+    own = docs.drop("rid").limit(6)
+    for c in CLASH:
+        own = own.withColumn(c, F.lit("mine"))
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for out in (quality.keep(own), simhash.dedup(own), suffix.dedup(own), logindex.dedup(own), decontam.clean(own, items)):
+        assert out.columns == own.columns and {r[c] for r in out.collect() for c in CLASH} <= {"mine"}
+    assert decontam.report(own, items).count() == own.count() == quality.judged(own).count()
+    pages = own.select("*", F.lit("http://a.b").alias("url"), F.lit("2024-01-01").cast("date").alias("fetched"), F.lit("<p>x").alias("html"))
+    changes = spark.createDataFrame([("b", "spam", "2023-01-01", True)], "domain string, category string, d string, added boolean").select("domain", "category", F.to_date("d").alias("day"), "added")
+    assert urlfilter.matched(pages, changes).where("blocked").count() == html.extracted(pages.drop("text")).where("text = 'x'").count() == own.count()
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared.folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
