@@ -58,9 +58,9 @@ def compressed(rows: DataFrame, refs: DataFrame, min_match: int = 30, matched=No
     # Headers are small (one row a reference), so numbering them in one task is bounded by the header.
     new = refs.join(used, "tid", "left_semi").withColumn("new_tid", (F.row_number().over(Window.orderBy("tid")) - 1).cast("int"))
     table = new.select("tid", "new_tid")
-    out = kept.join(F.broadcast(table), "tid").withColumn("tid", F.col("new_tid")).drop("new_tid")
+    out = kept.join(table, "tid").withColumn("tid", F.col("new_tid")).drop("new_tid")
     mates = table.select(F.col("tid").alias("mtid"), F.col("new_tid").alias("new_mtid"))
-    out = out.join(F.broadcast(mates), "mtid", "left").withColumn("mtid", F.coalesce("new_mtid", F.lit(-1))).drop("new_mtid")
+    out = out.join(mates, "mtid", "left").withColumn("mtid", F.coalesce("new_mtid", F.lit(-1))).drop("new_mtid")
     return out, new.drop("tid").withColumnRenamed("new_tid", "tid")
 
 

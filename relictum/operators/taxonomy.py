@@ -56,7 +56,7 @@ def closure(nodes: DataFrame) -> DataFrame:
 def lineage(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """taxid, path (root first), ranks and names (self first), depth, species, complete: whether the path ends at a root."""
     named = nodes.join(names, "taxid", "left") if names is not None else nodes.withColumn("name", F.lit(None).cast("string"))
-    up = closure(nodes).join(F.broadcast(named.select(F.col("taxid").alias("anc"), "parent", "rank", "name")), "anc", "left")
+    up = closure(nodes).join(named.select(F.col("taxid").alias("anc"), "parent", "rank", "name"), "anc", "left")
     rows = up.groupBy("taxid").agg(F.array_sort(F.collect_list(F.struct("dist", "anc", "rank", "name", (F.col("anc") == F.col("parent")).alias("top")))).alias("up"))
     species = F.filter("up", lambda x: x["rank"] == "species")
     return rows.select(
@@ -72,7 +72,7 @@ def lineage(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 def without_clades(nodes: DataFrame) -> DataFrame:
     """Rank clade becomes the rank of the nearest ancestor that is none."""
-    up = closure(nodes).join(F.broadcast(nodes.select(F.col("taxid").alias("anc"), "rank")), "anc").where("rank <> 'clade'")
+    up = closure(nodes).join(nodes.select(F.col("taxid").alias("anc"), "rank"), "anc").where("rank <> 'clade'")
     near = up.groupBy("taxid").agg(F.min_by("rank", "dist").alias("near"))
     return nodes.join(near, "taxid", "left").select("taxid", "parent", F.when(F.col("rank") == "clade", F.coalesce("near", "rank")).otherwise(F.col("rank")).alias("rank"))
 
@@ -96,7 +96,7 @@ def lca(rows: DataFrame, read: str = "qname", more: tuple[Column, ...] = ()) ->
 
 def descendants(tree: DataFrame, seeds: DataFrame) -> DataFrame:
     """tree: closure. seeds(taxid) -> taxid of the seeds and all below."""
-    return tree.join(F.broadcast(seeds.select(F.col("taxid").alias("anc")).distinct()), "anc", "left_semi").select("taxid").distinct()
+    return tree.join(seeds.select(F.col("taxid").alias("anc")).distinct(), "anc", "left_semi").select("taxid").distinct()
 
 
 def lineage_string(path: Column, ranks: Column, names: Column) -> Column:

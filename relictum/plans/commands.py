@@ -48,7 +48,7 @@ def getdamage(rows: DataFrame, run_mode: int = 0, positions: int = 5, where: Ali
     if run_mode == 2:
         if ref2tax is None:
             raise ValueError("run_mode 2 needs ref2tax")
-        kept = kept.join(F.broadcast(ref2tax.select("tid", F.col("taxid").alias("id"))), "tid")
+        kept = kept.join(ref2tax.select("tid", F.col("taxid").alias("id")), "tid")
     elif run_mode in (0, 1):
         kept = kept.withColumn("id", F.lit(0) if run_mode == 0 else F.col("tid"))
     else:
@@ -81,7 +81,7 @@ def lca(rows: DataFrame, ref2tax: DataFrame, nodes: DataFrame, names: DataFrame,
     passed = own.where(first.column())
     opened = passed.groupBy("qname").agg(F.min_by(F.struct("seq", F.length("seq").alias("len"), seq.gc("seq").alias("gc")), "aln_idx").alias("o"))
     kept = passed.where(AlignmentFilter(min_edit=min_edit, max_edit=max_edit, min_ani=low, max_ani=high, no_failed=False).column())
-    mapped = kept.join(F.broadcast(ref2tax.select("tid", "taxid")), "tid", "left")
+    mapped = kept.join(ref2tax.select("tid", "taxid"), "tid", "left")
     missing = mapped.where("taxid is null").groupBy("tid", "rname").agg(F.count(F.lit(1)).alias("n"))
     mapped = mapped.where("taxid is not null").join(tree.select("taxid", "path", "species", "complete", F.get("ranks", F.lit(0)).alias("rank")), "taxid")
     mapped = best_as(mapped) if best else mapped

@@ -136,19 +136,19 @@ def _(s, d):
 @query("ref2tax_inner", "select qname, aln.taxid, count(*) n from aln join (select taxid from nodes where taxid % 3 <> 0) t on aln.taxid = t.taxid group by all")
 def _(s, d):
     r = nodes(s, d).where("taxid % 3 <> 0 and rank = 'species'").select((F.col("taxid") - 1000).cast("long").alias("tid"), F.col("taxid").alias("t"))
-    return alignments(s, d).join(F.broadcast(r), "tid").groupBy("qname", F.col("t").alias("taxid")).agg(F.count(F.lit(1)).alias("n"))
+    return alignments(s, d).join(r, "tid").groupBy("qname", F.col("t").alias("taxid")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("missing_refs_anti", "select tid, count(*) n from aln where taxid not in (select taxid from nodes where taxid % 3 <> 0) group by tid")
 def _(s, d):
     r = nodes(s, d).where("taxid % 3 <> 0").select("taxid")
-    return alignments(s, d).join(F.broadcast(r), "taxid", "left_anti").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    return alignments(s, d).join(r, "taxid", "left_anti").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("names_left_join", "select taxid, coalesce(name, '<missing-name>') as name, n from (select taxid, count(*) n from aln group by taxid) left join (select taxid, name from nodes where taxid % 2 = 0) using (taxid)")
 def _(s, d):
     n = nodes(s, d).where("taxid % 2 = 0").select("taxid", "name")
-    return alignments(s, d).groupBy("taxid").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n), "taxid", "left").select("taxid", F.coalesce("name", F.lit("<missing-name>")).alias("name"), "n")
+    return alignments(s, d).groupBy("taxid").agg(F.count(F.lit(1)).alias("n")).join(n, "taxid", "left").select("taxid", F.coalesce("name", F.lit("<missing-name>")).alias("name"), "n")
 
 
 @query("moved_taxids", "select case taxid when 1001 then 1002 when 1003 then 1004 else taxid end taxid, count(*) n from aln group by 1")
@@ -200,7 +200,7 @@ def _(s, d):
 
 
 def reads(s: SparkSession, d: str) -> DataFrame:
-    return tax.lca(alignments(s, d).join(F.broadcast(lineage(s, d).select("taxid", "path", "species", "complete")), "taxid"), "qname", (F.count_distinct("species").alias("nspec"), F.max("len").alias("len")))
+    return tax.lca(alignments(s, d).join(lineage(s, d).select("taxid", "path", "species", "complete"), "taxid"), "qname", (F.count_distinct("species").alias("nspec"), F.max("len").alias("len")))
 
 
 LCA = """, k as (select qname, count(*) naln, count(distinct taxid) nspec, max(len) len from aln group by qname),
@@ -226,7 +226,7 @@ def _(s, d):
 
 def gated(s: SparkSession, d: str, most: int) -> DataFrame:
     levels = nodes(s, d).select(F.col("taxid").alias("lca"), tax.level(F.col("rank")).alias("level"))
-    return reads(s, d).join(F.broadcast(levels), "lca").where(f"level <> -1 and level <= {most}")
+    return reads(s, d).join(levels, "lca").where(f"level <> -1 and level <= {most}")
 
 
 @lca_query("lca_level_gate", "select lca, count(*) n from lca join nodes on taxid = lca where rank = 'species' group by lca")
@@ -429,7 +429,7 @@ def _(s, d):
 def _(s, d):
     own = counts(s, d)
     first = own.agg(F.min("taxon").alias("taxon"))
-    rows = damage.frequencies(own.join(F.broadcast(first), "taxon", "left_semi"), "taxon")
+    rows = damage.frequencies(own.join(first, "taxon", "left_semi"), "taxon")
     return rows.where("substring(sub, 1, 1) <> substring(sub, 2, 1)").select("end", "pos", "sub", r6("f"))
 
 

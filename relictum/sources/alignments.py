@@ -62,7 +62,7 @@ def read_sam(spark: SparkSession, path: str, ignore_order: bool = False) -> tupl
     )
     rows = rows.withColumn("qual", F.when(F.col("q") == "*", F.array_repeat(F.lit(255), F.length("seq"))).otherwise(F.transform(F.split("q", ""), lambda c: F.ascii(c) - 33)))
     own = refs.select("tid", "rname")
-    rows = rows.join(F.broadcast(own), "rname", "left").join(F.broadcast(own.select(F.col("tid").alias("mtid"), F.col("rname").alias("mname"))), "mname", "left")
+    rows = rows.join(own, "rname", "left").join(own.select(F.col("tid").alias("mtid"), F.col("rname").alias("mname")), "mname", "left")
     known = F.when(F.col("tid").isNull() & (F.col("rname") != "*"), F.raise_error(F.concat(F.lit("no @SQ for "), F.col("rname"))).cast("int")).otherwise(F.coalesce("tid", F.lit(-1)))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     return rows.withColumn("tid", known).withColumn("mtid", F.coalesce("mtid", F.lit(-1))).select(*names), refs
