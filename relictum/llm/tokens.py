@@ -15,7 +15,7 @@ import numpy as np
 import regex
 
 #: Chunks kept by a worker, and the longest chunk kept.
-WORDS, LONGEST = 600_000, 48
+WORDS, LONGEST = 1_200_000, 48
 #: New chunks encoded in one call.
 TOGETHER = 2_000
 #: Words as byte-level BPE splits them (public GPT-2 pattern, a fixed value).
@@ -31,6 +31,14 @@ def place(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def spaced(text: str) -> bool:
+    """Whether some white space stands beside a space."""
+    return "  " in text or "\n " in text or " \n" in text or not text.replace("\n", "").isprintable() and _SPACED(text) is not None
+
+
+_SPACED = re.compile(r" [^\S \n]|[^\S \n] ").search
+
+
 class Encoder:
     """Chunks are what stands between spaces. A byte-level text may be cut before a single space, a word-level text at any
     white space; texts where that would not hold (`odd`) are split by the tokenizer's own pattern instead."""
@@ -42,11 +50,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(place(name, folder))
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = name.startswith("byte")
-        self.odd = re.compile(r" \s|\s ").search if self.bytes else re.compile("[\x1c-\x1f]").search
+        self.odd = spaced if self.bytes else re.compile("[\x1c-\x1f]").search
         self.split = regex.compile(BYTE_PATTERN if self.bytes else r"[^\x20\x09-\x0D]+").findall
         # New chunks are encoded together, with a mark between them that no chunk holds and that is one id.
         self.mark, self.glue = ("\n", "\n") if self.bytes else ("0", " 0 ")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
         self.known: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}  # the same for chunks that follow a space
 
@@ -72,7 +81,7 @@ class Encoder:
         long: list[tuple[str, dict]] = []
         for known, before in ((self.known, ""), (self.after, " ")):
             mine = set().union(*[x[0] for c in cut if isinstance(c, list) for x in c if x[1] is known])
-            new = [w for w in mine if w not in known]
+            new = list(mine.difference(known))
             if len(known) + len(new) > WORDS:
                 known.clear()
                 new = list(mine)
@@ -84,22 +93,24 @@ class Encoder:
         return out
 
     def learn(self, new: list[str], known: dict[str, bytes], before: str) -> None:
-        plain = [w for w in new if self.mark not in w and (before + w).strip()]
+        # A chunk of letters and a final comma or full stop is two words; the letters often come without it too.
+        ends = [w for w in new if w[-1:] in self.tails and w[:-1].isalpha()]
+        rest = set(new).difference(ends).union([w[:-1] for w in ends]).difference(known)
+        plain = [w for w in rest if self.mark not in w and (before + w).strip()]
         for at in range(0, len(plain), TOGETHER):
             own = plain[at : at + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([self.glue.join([before + w for w in own])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            if len(ends) != len(own):
+            stops = np.append(np.flatnonzero(ids == self.mark_id), len(ids)) * 4
+            if len(stops) != len(own):
                 plain = plain[:at]
                 break
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(own, ends.tolist(), strict=True):
-                known[w] = raw[4 * start : 4 * end]
-                start = end + 1
-        if len(plain) < len(new):
-            rest = [w for w in new if w not in known]
+            raw, stops = ids.tobytes(), stops.tolist()
+            known.update(zip(own, [raw[a:b] for a, b in zip([0, *[x + 4 for x in stops]], stops)]))
+        if len(plain) < len(rest):
+            rest = [w for w in rest if w not in known]
             for w, e in zip(rest, self.tokenizer.encode_batch_fast([before + w for w in rest], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
+        known.update([(w, known[w[:-1]] + self.tails[w[-1]]) for w in ends])
 
 
 @lru_cache(4)
