@@ -24,6 +24,9 @@ from relictum.llm.windows import grams, prefix, word_codes, word_spans
 WIDTH, K, BATCHES = 35, 8, 2
 #: Bytes of text verified at once.
 BLOCK = 2_000_000
+#: A key with more segments than this is dealt by window instead of by key. Verifying is cheap, so a task can hold more than
+#: a suffix array's could: about 20,000 times 60 words.
+HOT = 20_000
 
 
 class FingerprintIndex:
@@ -63,7 +66,7 @@ class FingerprintIndex:
         known = reduce(DataFrame.unionByName, self.known).distinct()
         rows = reduce(DataFrame.unionByName, self.runs)
         sums = totals(rows).where("weight >= 2")
-        return shared.table(sums.join(known, "key", "left_semi").select("key", (F.col("low") != F.col("high")).alias("several"), (F.col("copies") > repeats.HOT).alias("hot")), "keys")
+        return shared.table(sums.join(known, "key", "left_semi").select("key", (F.col("low") != F.col("high")).alias("several"), (F.col("copies") > HOT).alias("hot")), "keys")
 
 
 def totals(rows: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def test_suffix_array():
 
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_log_index(spark, folder, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(logindex, "HOT", hot)
     rows = [(i, WORD.findall(t or "")) for i, t in corpus()]
     count = collections.Counter(tuple(w[p : p + 35]) for _, w in rows for p in range(len(w) - 34))
     want = []
