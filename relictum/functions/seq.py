@@ -152,22 +152,26 @@ def pmd(read, ref, qual=None, exact: bool = False) -> Column:
     qual: array of base qualities. By default only quality 0 counts as an error (probability 1); `exact` uses 10**(-q/10)."""
     read, ref = F.upper(_col(read)), F.upper(_col(ref))
     n = F.length(read)
+    # Each base comes with all it needs: a lambda that looks into the read would walk it for every base.
+    bases = {"own": F.split(read, ""), "under": F.coalesce(F.split(ref, ""), F.array().cast("array<string>")), "left": F.sequence(F.lit(1), n), "right": F.sequence(n, F.lit(1), F.lit(-1))}
+    if qual is not None:
+        bases["q"] = F.coalesce(_col(qual), F.array().cast("array<int>"))
 
-    def eps(i):
+    def eps(x):
         if qual is None:
             return F.lit(0.0)
-        q = F.get(_col(qual), i)
-        return F.pow(F.lit(10.0), -q / 10) if exact else F.when(q == 0, 1.0).otherwise(0.0)
+        return F.pow(F.lit(10.0), -x["q"] / 10) if exact else F.when(x["q"] == 0, 1.0).otherwise(0.0)
 
-    def part(i):
-        own, under, e = F.substring(read, i + 1, 1), F.substring(ref, i + 1, 1), eps(i)
-        power = F.when(under == "C", i + 1).otherwise(n - i)
+    def part(x):
+        own, under, e = x["own"], x["under"], eps(x)
+        power = F.when(under == "C", x["left"]).otherwise(x["right"])
         d = PMD_C0 + PMD_P * F.pow(F.lit(1 - PMD_P), power)
         with_d = (1 - PMD_PI) * (1 - e) * (1 - d) + PMD_PI * e / 3 * (1 - d) + PMD_PI / 3 * (1 - e) * d + (1 - PMD_PI) * e / 3 * d
         without = (1 - PMD_PI) * (1 - e) + PMD_PI * e / 3
-        return F.when(under.isin("C", "G"), F.when(own == under, F.ln(with_d) - F.ln(without)).otherwise(F.ln(1 - with_d) - F.ln(1 - without))).otherwise(0.0)
+        return F.when(own.isNotNull() & under.isin("C", "G"), F.when(own == under, F.ln(with_d) - F.ln(without)).otherwise(F.ln(1 - with_d) - F.ln(1 - without))).otherwise(0.0)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda a, i: a + part(i))
+    zipped = F.arrays_zip(*[c.alias(k) for k, c in bases.items()])
+    return F.aggregate(zipped, F.lit(0.0), lambda a, x: a + part(x))
 
 
 def damage_curve(a, q, c, x) -> Column:

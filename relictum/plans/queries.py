@@ -1,7 +1,8 @@
 """Registered queries: every operator over stand-in tables made from the driver's data, with the same in SQL.
 
 region > nation > supplier is the taxonomy, lineitem holds alignments (order = read, supplier = reference), documents hold
-sequences (their letters A, C, G, T).
+sequences (their letters A, C, G, T): the first 60 of each text, as the SQL has them. Each query over sequences is registered once more
+as NAME_whole, over all letters of each text.
 """
 
 from __future__ import annotations
@@ -24,11 +25,17 @@ SQL: dict[str, str] = {}
 L = 5
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, whole: str | None = None):
+    """whole: "sql" or "rows" registers the query over whole texts too, with the same SQL over whole texts or without."""
+
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
             SQL[name] = f"with recursive {PROXY}\n{sql}"
+        if whole:
+            QUERIES[f"{name}_whole"] = lambda s, d: f(s, d, None)
+        if whole == "sql":
+            SQL[f"{name}_whole"] = f"with recursive {WHOLE}\n{sql}"
         return f
 
     return put
@@ -65,10 +72,12 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def sequences(spark: SparkSession, d: str) -> DataFrame:
+def sequences(spark: SparkSession, d: str, most: int | None = 60) -> DataFrame:
+    """most: letters of each text from its start; None: all."""
     s = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
-    own = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(s, 1, 60).alias("seq"), (F.col("doc_id") % 7).alias("taxon"), F.when(F.col("doc_id") % 3 == 0, 16).otherwise(0).alias("flag"))
-    ref = F.when(F.col("id") % 2 == 0, F.concat(F.translate(F.substring("seq", 1, 3), "T", "C"), F.substring("seq", 4, 60))).otherwise(F.col("seq"))
+    s = s if most is None else F.substring(s, 1, most)
+    own = read(spark, d, "documents").select(F.col("doc_id").alias("id"), s.alias("seq"), (F.col("doc_id") % 7).alias("taxon"), F.when(F.col("doc_id") % 3 == 0, 16).otherwise(0).alias("flag"))
+    ref = F.when(F.col("id") % 2 == 0, F.concat(F.translate(F.substring("seq", 1, 3), "T", "C"), F.substring("seq", 4, 2**31 - 1))).otherwise(F.col("seq"))
     return own.where("length(seq) >= 10").withColumn("ref", ref)
 
 
@@ -86,13 +95,16 @@ b1 as (select taxon, '5p' as "end", p pos, flag, case when flag = 0 then p + 1 e
 mm as (select taxon, "end", pos, case when flag = 0 then ref[i] || seq[i] else translate(ref[i] || seq[i], 'ACGT', 'TGCA') end sub, count(*) w from b1 group by all),
 stat as (select taxid, count(*) nreads, avg(len) mean_len, coalesce(var_samp(len), 0) var_len from aln group by taxid)"""
 
+#: The same over whole texts.
+WHOLE = PROXY.replace("[1:60]", "")
+
 
 def r6(c: str | Column, name: str | None = None) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
 
 
-def counts(spark: SparkSession, d: str) -> DataFrame:
-    return damage.substitutions(sequences(spark, d), "taxon", L)
+def counts(spark: SparkSession, d: str, most: int | None = 60) -> DataFrame:
+    return damage.substitutions(sequences(spark, d, most), "taxon", L)
 
 
 # Filters.
@@ -291,33 +303,38 @@ def _(s, d):
 # Sequences.
 
 
-@query("gc_content", "select id, round(case when length(seq) = 0 then 0 else (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) end, 6) gc from sq")
-def _(s, d):
-    return sequences(s, d).select("id", r6(seq.gc("seq"), "gc"))
+@query("gc_content", "select id, round(case when length(seq) = 0 then 0 else (length(seq) - length(translate(seq, 'GC', ''))) / length(seq) end, 6) gc from sq", whole="sql")
+def _(s, d, most=60):
+    return sequences(s, d, most).select("id", r6(seq.gc("seq"), "gc"))
 
 
 DUST = """, t as (select id, seq[i : i + 2] t from (select id, seq, unnest(range(1, length(seq) - 1)) i from sq)), c as (select id, t, count(*) c from t group by all),
 du as (select id, cast(floor(0.5 + 200.0 * sum(c * (c - 1) / 2) / ((sum(c) - 1) * sum(c))) as integer) dust from c group by id)"""
 
 
-@query("dust_score", f"{DUST} select id, dust from du")
-def _(s, d):
-    return sequences(s, d).select("id", seq.rounded(seq.dust_short("seq")).alias("dust"))
+def _dust(most: int | None) -> Column:
+    """The fold holds up to 64 triplets; whole texts have more."""
+    return seq.dust("seq") if most is None else seq.dust_short("seq")
 
 
-@query("dust_filter", f"{DUST} select count(*) n from du where dust <= 4")
-def _(s, d):
-    return sequences(s, d).where(seq.rounded(seq.dust_short("seq")) <= 4).agg(F.count(F.lit(1)).alias("n"))
+@query("dust_score", f"{DUST} select id, dust from du", whole="rows")
+def _(s, d, most=60):
+    return sequences(s, d, most).select("id", seq.rounded(_dust(most)).alias("dust"))
 
 
-@query("dust_any_length", f"{DUST} select id, dust from du")
-def _(s, d):
-    return sequences(s, d).select("id", seq.rounded(seq.dust("seq")).alias("dust"))
+@query("dust_filter", f"{DUST} select count(*) n from du where dust <= 4", whole="rows")
+def _(s, d, most=60):
+    return sequences(s, d, most).where(seq.rounded(_dust(most)) <= 4).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("revcomp", "select id, reverse(translate(seq, 'ACGT', 'TGCA')) rc from sq")
-def _(s, d):
-    return sequences(s, d).select("id", seq.revcomp("seq").alias("rc"))
+@query("dust_any_length", f"{DUST} select id, dust from du", whole="rows")
+def _(s, d, most=60):
+    return sequences(s, d, most).select("id", seq.rounded(seq.dust("seq")).alias("dust"))
+
+
+@query("revcomp", "select id, reverse(translate(seq, 'ACGT', 'TGCA')) rc from sq", whole="sql")
+def _(s, d, most=60):
+    return sequences(s, d, most).select("id", seq.revcomp("seq").alias("rc"))
 
 
 @query("ani", "select qname, tid, aln_idx, round(1 - nm / len, 6) ani from aln")
@@ -331,11 +348,11 @@ def _(s, d):
     return alignments(s, d).select("aln_idx", "tid", seq.matched_bases(cigar).cast("long").alias("matched"))
 
 
-@query("aligned_reference", "select id, ref from sq")
-def _(s, d):
+@query("aligned_reference", "select id, ref from sq", whole="sql")
+def _(s, d, most=60):
     # MD strings from read and reference: runs of equal bases between the mismatching reference bases.
-    own = sequences(s, d)
-    cells = F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.when(F.substring("seq", i, 1) == F.substring("ref", i, 1), F.lit("=")).otherwise(F.substring("ref", i, 1)))
+    own = sequences(s, d, most)
+    cells = F.zip_with(F.split("seq", ""), F.split("ref", ""), lambda a, b: F.when(a == b, F.lit("=")).otherwise(b))
     parts = F.regexp_extract_all(F.concat(F.array_join(cells, ""), F.lit("$")), F.lit("(=*)([A-Z$])"), F.lit(0))
     md = F.regexp_replace(F.array_join(F.transform(parts, lambda p: F.concat((F.length(p) - 1).cast("string"), F.substring(p, -1, 1))), ""), r"\$", "")
     return own.select("id", seq.reference()(F.col("seq"), F.concat(F.length("seq").cast("string"), F.lit("M")), md).alias("ref"))
@@ -344,22 +361,22 @@ def _(s, d):
 @query("pmd_score", """, q as (select id, seq, ref, unnest(range(0, length(seq))) i from sq),
 v as (select id, ref[i + 1] r, seq[i + 1] b, 0.01 + 0.3 * pow(0.7, case when ref[i + 1] = 'C' then i + 1 else length(seq) - i end) dz from q),
 w as (select id, case when r in ('C', 'G') then case when b = r then ln(0.99 * (1 - dz) + 0.01 / 3 * dz) - ln(0.99) else ln(1 - (0.99 * (1 - dz) + 0.01 / 3 * dz)) - ln(0.01) end else 0 end x from v)
-select id, round(sum(x), 5) pmd from w group by id""")
-def _(s, d):
-    return sequences(s, d).select("id", F.round(seq.pmd("seq", "ref"), 5).alias("pmd"))
+select id, round(sum(x), 5) pmd from w group by id""", whole="rows")
+def _(s, d, most=60):
+    return sequences(s, d, most).select("id", F.round(seq.pmd("seq", "ref"), 5).alias("pmd"))
 
 
 # Damage.
 
 
-@query("substitution_matrix", """select taxon, "end", pos, sub, cast(w as double) w from mm""")
-def _(s, d):
-    return counts(s, d)
+@query("substitution_matrix", """select taxon, "end", pos, sub, cast(w as double) w from mm""", whole="sql")
+def _(s, d, most=60):
+    return counts(s, d, most)
 
 
-@query("substitution_weighted", """, c as (select taxon, count(*) k from sq group by taxon) select m.taxon, "end", pos, sub, round(w / k, 6) w from mm m join c on c.taxon = m.taxon""")
-def _(s, d):
-    own = sequences(s, d)
+@query("substitution_weighted", """, c as (select taxon, count(*) k from sq group by taxon) select m.taxon, "end", pos, sub, round(w / k, 6) w from mm m join c on c.taxon = m.taxon""", whole="sql")
+def _(s, d, most=60):
+    own = sequences(s, d, most)
     n = own.groupBy("taxon").agg(F.count(F.lit(1)).alias("k"))
     out = damage.substitutions(own.join(n, "taxon"), "taxon", L, F.lit(1.0) / F.col("k"))
     return out.withColumn("w", F.round("w", 6))
@@ -368,49 +385,49 @@ def _(s, d):
 FREQ = """, fr as (select taxon, "end", pos, sub, w / sum(w) over (partition by taxon, "end", pos, sub[1:1]) f from mm), nr as (select taxon, count(*) nreads from sq group by taxon)"""
 
 
-@query("misincorporation_rates", f"""{FREQ} select taxon, "end", pos, sub, round(f, 6) f from fr""")
-def _(s, d):
-    return damage.frequencies(counts(s, d), "taxon").select("taxon", "end", "pos", "sub", r6("f"))
+@query("misincorporation_rates", f"""{FREQ} select taxon, "end", pos, sub, round(f, 6) f from fr""", whole="sql")
+def _(s, d, most=60):
+    return damage.frequencies(counts(s, d, most), "taxon").select("taxon", "end", "pos", "sub", r6("f"))
 
 
-@query("print_wide", f"""{FREQ} select taxon, "end", pos, {', '.join(f"round(coalesce(sum(f) filter (sub = '{x}'), 0), 6) \"{x}\"" for x in damage.SUBSTITUTIONS)} from fr group by taxon, "end", pos""")
-def _(s, d):
-    rows = damage.wide(damage.frequencies(counts(s, d), "taxon"), "taxon", "f")
+@query("print_wide", f"""{FREQ} select taxon, "end", pos, {', '.join(f"round(coalesce(sum(f) filter (sub = '{x}'), 0), 6) \"{x}\"" for x in damage.SUBSTITUTIONS)} from fr group by taxon, "end", pos""", whole="sql")
+def _(s, d, most=60):
+    rows = damage.wide(damage.frequencies(counts(s, d, most), "taxon"), "taxon", "f")
     return rows.select("taxon", "end", "pos", *[r6(x) for x in damage.SUBSTITUTIONS])
 
 
-@query("print_counts", f"""select taxon, "end", pos, {', '.join(f"cast(coalesce(sum(w) filter (sub = '{x}'), 0) as bigint) \"{x}\"" for x in damage.SUBSTITUTIONS)} from mm group by taxon, "end", pos""")
-def _(s, d):
-    return commands.printed_ugly(counts(s, d).withColumnRenamed("taxon", "id"), None).withColumnRenamed("taxid", "taxon")
+@query("print_counts", f"""select taxon, "end", pos, {', '.join(f"cast(coalesce(sum(w) filter (sub = '{x}'), 0) as bigint) \"{x}\"" for x in damage.SUBSTITUTIONS)} from mm group by taxon, "end", pos""", whole="sql")
+def _(s, d, most=60):
+    return commands.printed_ugly(counts(s, d, most).withColumnRenamed("taxon", "id"), None).withColumnRenamed("taxid", "taxon")
 
 
-def taxa(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return counts(s, d).withColumnRenamed("taxon", "id"), sequences(s, d).groupBy(F.col("taxon").alias("id")).agg(F.count(F.lit(1)).alias("nreads"))
+def taxa(s: SparkSession, d: str, most: int | None = 60) -> tuple[DataFrame, DataFrame]:
+    return counts(s, d, most).withColumnRenamed("taxon", "id"), sequences(s, d, most).groupBy(F.col("taxon").alias("id")).agg(F.count(F.lit(1)).alias("nreads"))
 
 
 _CELLS = [f"""round(coalesce(sum(f) filter ("end" = '{e}' and sub = '{x}' and pos = {p}), 0), 6) {n}{p}""" for e, x, n in (("5p", "CT", "ct"), ("3p", "GA", "ga")) for p in range(L)]
 
 
-@query("ct_ga_compact", f"""{FREQ} select fr.taxon id, nreads, {', '.join(_CELLS)} from fr join nr on nr.taxon = fr.taxon group by fr.taxon, nreads""")
-def _(s, d):
-    rows = commands.compact(*taxa(s, d), L)
+@query("ct_ga_compact", f"""{FREQ} select fr.taxon id, nreads, {', '.join(_CELLS)} from fr join nr on nr.taxon = fr.taxon group by fr.taxon, nreads""", whole="sql")
+def _(s, d, most=60):
+    rows = commands.compact(*taxa(s, d, most), L)
     return rows.select("id", "nreads", *[r6(c) for c in rows.columns[2:]])
 
 
 @query("print_all_vector", f"""{FREQ}, v as (select taxon, pos, coalesce(sum(f) filter ("end" = '5p' and sub = 'CT'), 0) ct, coalesce(sum(f) filter ("end" = '3p' and sub = 'GA'), 0) ga,
   coalesce(sum(f) filter (sub[1:1] <> sub[2:2]), 0) al from fr group by taxon, pos)
-select v.taxon taxid, nreads, pos, round(ct * nreads, 5) ct, round(ga * nreads, 5) ga, round((al - ct - ga) / 10 * nreads, 5) other from v join nr on nr.taxon = v.taxon""")
-def _(s, d):
-    rows = commands.printed_all(*taxa(s, d), L)
+select v.taxon taxid, nreads, pos, round(ct * nreads, 5) ct, round(ga * nreads, 5) ga, round((al - ct - ga) / 10 * nreads, 5) other from v join nr on nr.taxon = v.taxon""", whole="sql")
+def _(s, d, most=60):
+    rows = commands.printed_all(*taxa(s, d, most), L)
     return rows.select("taxid", "nreads", "pos", *[F.round(c, 5).alias(c) for c in ("ct", "ga", "other")])
 
 
 KN = """, kn as (select taxon, "end", pos, coalesce(sum(w) filter (sub = case when "end" = '5p' then 'CT' else 'GA' end), 0) k, coalesce(sum(w) filter (sub[1:1] = case when "end" = '5p' then 'C' else 'G' end), 0) n from mm group by taxon, "end", pos)"""
 
 
-@query("kn_extract", f"""{KN} select taxon, "end", pos, cast(k as double) k, cast(n as double) n, round(case when n > 0 then k / n else 0 end, 6) f from kn""")
-def _(s, d):
-    return damage.kn(counts(s, d), "taxon").select("taxon", "end", "pos", "k", "n", r6("f"))
+@query("kn_extract", f"""{KN} select taxon, "end", pos, cast(k as double) k, cast(n as double) n, round(case when n > 0 then k / n else 0 end, 6) f from kn""", whole="sql")
+def _(s, d, most=60):
+    return damage.kn(counts(s, d, most), "taxon").select("taxon", "end", "pos", "k", "n", r6("f"))
 
 
 @query("rlens_hist_flat", "select tid, len rlen, count(*) cnt from aln group by all")
@@ -425,9 +442,9 @@ def _(s, d):
     return lengths_text(damage.lengths(alignments(s, d), "tid", F.col("len")).withColumnRenamed("tid", "id"))
 
 
-@query("misincorporation_first", f"""{FREQ} select "end", pos, sub, round(f, 6) f from fr where taxon = (select min(taxon) from mm) and sub[1:1] <> sub[2:2]""")
-def _(s, d):
-    own = counts(s, d)
+@query("misincorporation_first", f"""{FREQ} select "end", pos, sub, round(f, 6) f from fr where taxon = (select min(taxon) from mm) and sub[1:1] <> sub[2:2]""", whole="sql")
+def _(s, d, most=60):
+    own = counts(s, d, most)
     first = own.agg(F.min("taxon").alias("taxon"))
     rows = damage.frequencies(own.join(first, "taxon", "left_semi"), "taxon")
     return rows.where("substring(sub, 1, 1) <> substring(sub, 2, 1)").select("end", "pos", "sub", r6("f"))
@@ -444,17 +461,17 @@ def _(s, d):
 
 
 @query("betabinom_llh", f"""{KN}, z as (select taxon, k, n, ({A} * pow(1 - {Q}, pos) + {C}) * {PHI} al, (1 - ({A} * pow(1 - {Q}, pos) + {C})) * {PHI} be from kn)
-select taxon taxid, round(sum(lgamma(n + 1) + lgamma(k + al) + lgamma(n - k + be) + lgamma(al + be) - lgamma(k + 1) - lgamma(n - k + 1) - lgamma(al) - lgamma(be) - lgamma(n + al + be)), 4) llh from z group by taxon""")
-def _(s, d):
-    rows = damage.kn_arrays(counts(s, d), "taxon", L)
+select taxon taxid, round(sum(lgamma(n + 1) + lgamma(k + al) + lgamma(n - k + be) + lgamma(al + be) - lgamma(k + 1) - lgamma(n - k + 1) - lgamma(al) - lgamma(be) - lgamma(n + al + be)), 4) llh from z group by taxon""", whole="sql")
+def _(s, d, most=60):
+    rows = damage.kn_arrays(counts(s, d, most), "taxon", L)
     return rows.select("taxid", F.round(fits.llh_udf()(F.lit(A), F.lit(Q), F.lit(C), F.lit(PHI), "k", "n"), 4).alias("llh"))
 
 
 @query("sigma_z", f"""{KN}, e as (select taxon, greatest(1, max(case when "end" = '5p' and pos = 0 then n end)) n0, greatest(1, sum(n * pow(1 - {Q}, 2 * pos))) ne from kn group by taxon)
 select taxon taxid, round(sqrt({A} * (1 - {A}) * ({PHI} + n0) / (({PHI} + 1) * n0)), 6) sigma_old, round({A} / sqrt({A} * (1 - {A}) * ({PHI} + n0) / (({PHI} + 1) * n0)), 6) z_old,
-round(sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) sigma_new, round({A} / sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) z_new from e""")
-def _(s, d):
-    long = damage.kn(counts(s, d), "taxon")
+round(sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) sigma_new, round({A} / sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) z_new from e""", whole="sql")
+def _(s, d, most=60):
+    long = damage.kn(counts(s, d, most), "taxon")
     e = long.groupBy(F.col("taxon").alias("taxid")).agg(F.greatest(F.lit(1.0), F.max(F.when((F.col("end") == "5p") & (F.col("pos") == 0), F.col("n")))).alias("n0"), F.greatest(F.lit(1.0), F.sum(F.col("n") * F.pow(F.lit(1 - Q), 2 * F.col("pos")))).alias("ne"))
     sigma = lambda n: F.sqrt(A * (1 - A) * (PHI + F.col(n)) / ((PHI + 1) * F.col(n)))
     return e.select("taxid", r6(sigma("n0"), "sigma_old"), r6(A / sigma("n0"), "z_old"), r6(sigma("ne"), "sigma_new"), r6(A / sigma("ne"), "z_new"))
@@ -462,17 +479,17 @@ def _(s, d):
 
 @query("dfit_params")
 def _(s, d):
-    return commands.dfit(counts(s, d).withColumnRenamed("taxon", "taxid"), positions=L, nopt=2)
+    return commands.dfit(counts(s, d, None).withColumnRenamed("taxon", "taxid"), positions=L, nopt=2)
 
 
 @query("bootstrap_ci")
 def _(s, d):
-    return commands.dfit(counts(s, d).withColumnRenamed("taxon", "taxid"), positions=L, nopt=0, nbootstrap=8)
+    return commands.dfit(counts(s, d, None).withColumnRenamed("taxon", "taxid"), positions=L, nopt=0, nbootstrap=8)
 
 
 @query("regression_fit")
 def _(s, d):
-    return commands.regression(taxa(s, d)[0], 2)
+    return commands.regression(taxa(s, d, None)[0], 2)
 
 
 # Selections.
@@ -569,9 +586,9 @@ def _(s, d):
     return own.select("tid").unionByName(own.select(F.col("mtid").alias("tid"))).groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("merge_damage", """select taxon id, "end", pos, sub, cast(2 * w as double) w from mm""")
-def _(s, d):
-    own = taxa(s, d)[0]
+@query("merge_damage", """select taxon id, "end", pos, sub, cast(2 * w as double) w from mm""", whole="sql")
+def _(s, d, most=60):
+    own = taxa(s, d, most)[0]
     return select.merged([own, own], ["id", "end", "pos", "sub"], ["w"])
 
 
