@@ -22,8 +22,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated passages go; so does a document of which nothing is left."""
-    return suffix.dedup(docs).where("text is null or trim(text) <> ''")
+    """Repeated passages of 50 words or of 400 bytes go; so does a document of which nothing is left."""
+    return suffix.dedup(docs, words=suffix.STAGE_WORDS).where("text is null or trim(text) <> ''")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -184,7 +184,7 @@ def spans(found: DataFrame, marked: DataFrame) -> DataFrame:
     return rows.groupBy("rid").agg(F.collect_list(F.struct("start", "froms", "tos")).alias("spans"))
 
 
-def removed(value: dict | None | list, width: int) -> tuple[np.ndarray, np.ndarray]:
+def removed(value: dict | None | list, width: int, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Units to remove as sorted maximal runs, from a document's spans."""
     if not value:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -193,14 +193,14 @@ def removed(value: dict | None | list, width: int) -> tuple[np.ndarray, np.ndarr
     return union(froms, tos + width - 1)
 
 
-def applied(docs: DataFrame, found_spans: DataFrame, width: int, unit: str, finish: Callable, schema: str, columns: list[str]) -> DataFrame:
+def applied(docs: DataFrame, found_spans: DataFrame, width: int, unit: str, finish: Callable, schema: str, columns: list[str], removed: Callable = removed) -> DataFrame:
     """finish(text bytes, removed starts, removed ends) -> tuple of the values that follow `columns` in schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, at = texts_of(batch.column("text"))
             value = batch.column("spans").to_pylist()
-            out = [finish(text[at[i] : at[i + 1]], *removed(value[i], width)) for i in range(batch.num_rows)]
+            out = [finish(text[at[i] : at[i + 1]], *removed(value[i], width, text[at[i] : at[i + 1]])) for i in range(batch.num_rows)]
             made = [pa.array(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *(f"_{i}" for i in range(len(made)))])
 

@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relictum.llm import repeats, shared
+from relictum.llm.windows import union, word_spans
 
 WIDTH, K = 400, 64
+#: The pipeline's stage: also passages of so many words, whatever their bytes.
+STAGE_WORDS, WORDS_K = 50, 8
 #: Bytes of text in one suffix array.
 BLOCK = 1_000_000
 
@@ -99,14 +102,38 @@ def repeated_bytes(width: int):
     return work
 
 
+def repeated_words(width: int):
+    """A worker for repeats.by_key: a suffix array of words, sparse (window starts only), sorted by `width` words."""
+
+    def work(texts: list[bytes], counts: list[int]) -> list[np.ndarray]:
+        number: dict[bytes, int] = {}
+        ids = [np.array([number.setdefault(w, len(number)) for w in x.split()], ">u4").tobytes() for x in texts]  # split at the bytes of word_spans
+        text, depth = b"".join(ids), 4 * width
+        starts = np.cumsum([0, *map(len, ids)])[:-1]
+        places = np.concatenate([s + 4 * np.arange(n) for s, n in zip(starts, counts, strict=True)])
+        array = np.array(sorted(places.tolist(), key=lambda p: text[p : p + depth]), np.int64)
+        same = common(np.frombuffer(text, np.uint8), array[:-1], array[1:], depth)
+        hit = np.zeros(len(text), bool)
+        hit[array[:-1][same]] = True
+        hit[array[1:][same]] = True
+        return [hit[s : s + 4 * n : 4] for s, n in zip(starts, counts, strict=True)]
+
+    return work
+
+
 def find(docs: DataFrame, width: int = WIDTH, k: int = K, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """docs with a rid, and the spans to remove by rid."""
     docs = repeats.keyed(docs)
-    rows = shared.table(repeats.segment_rows(docs, "byte", width, k), "segments")
+    return docs, units_found(docs, "byte", width, k, repeated_bytes(width), block)
+
+
+def units_found(docs: DataFrame, unit: str, width: int, k: int, worker, block: int = BLOCK) -> DataFrame:
+    """The spans to remove by rid: windows of `width` units that stand twice or more."""
+    rows = shared.table(repeats.segment_rows(docs, unit, width, k), "segments")
     keys = shared.table(repeats.repeated_keys(rows), "keys")
     found = shared.table(repeats.candidates(rows, keys), "candidates")
     narrow = docs.select("rid", "text")
-    return docs, repeats.spans(found, repeats.marks(narrow, found, "byte", width, repeated_bytes(width), block))
+    return repeats.spans(found, repeats.marks(narrow, found, unit, width, worker, block))
 
 
 def keep(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -117,20 +144,44 @@ def keep(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return text[np.cumsum(mask[:-1]) == 0].tobytes()
 
 
-def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def both_removed(width: int, words: int):
+    """repeats.removed for spans of bytes and, from negative starts, of words. Bytes to remove as sorted maximal runs."""
+
+    def removed(value, _width: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value = value or []
+        starts, ends = repeats.removed([x for x in value if x["start"] >= 0], width)
+        first, last = repeats.removed([{**x, "start": -1 - x["start"]} for x in value if x["start"] < 0], words)
+        if len(first):
+            s, e = word_spans(text)
+            starts, ends = union(np.concatenate([starts, s[first]]), np.concatenate([ends, e[last - 1]]))
+        return starts, ends
+
+    return removed
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     """The operator: the same columns, with repeated bytes taken out of text. A cut may fall inside a character; the
-    broken bytes of that character are dropped too. Texts without a repeat, null included, stay as they are."""
+    broken bytes of that character are dropped too. Texts without a repeat, null included, stay as they are.
+
+    words: repeated windows of so many words, however short, go as well; both kinds are counted on the texts as they come."""
     columns = docs.columns
     others = [c for c in columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row_"))
     keyed, spans = find(packed, width)
+    if words:
+        # Word numbers become negative, so that both kinds go back to their document together.
+        by_word = units_found(keyed, "word", words, WORDS_K, repeated_words(words))
+        tagged = F.transform("spans", lambda x: F.struct((-1 - x["start"]).alias("start"), x["froms"].alias("froms"), x["tos"].alias("tos")))
+        both = spans.unionByName(by_word.select("rid", tagged.alias("spans")))
+        spans = both.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def finish(text, starts, ends):
         return (keep(text, starts, ends).decode("utf-8", "ignore") if len(starts) else None,)
 
     kept = ["doc_id", "text", "row_"]
     schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in kept)
-    done = repeats.applied(keyed.select("rid", *kept), spans, width, "byte", finish, f"{schema}, cut_ string", kept)
+    removed = both_removed(width, words) if words else repeats.removed
+    done = repeats.applied(keyed.select("rid", *kept), spans, width, "byte", finish, f"{schema}, cut_ string", kept, removed)
     shown = {"doc_id": F.col("doc_id"), "text": F.coalesce("cut_", "text")} | {c: F.col(f"row_.c{i}") for i, c in enumerate(others)}
     return done.select(*[shown[c].alias(c) for c in columns])
 
