@@ -9,6 +9,10 @@ blocks untouched, so two linked fingerprints share one of the shards that name B
 with the data. A shard holds distinct fingerprints only, so copies never weigh on it, and it gives back a spanning
 forest of its links rather than all pairs.
 
+The pipeline's stage takes distinct sets of shingles instead. Its 256-bit fingerprints, of each shingle once, only find
+candidates, within a radius that pairs of similarity 0.8 hardly leave; each link is then verified by the exact Jaccard
+similarity of the two sets. Close pairs are verified first as a forest; after that only pairs not yet in one class are.
+
 Defined results: null or blank text has fingerprint 0 and links like any other; repeated rows link to each other; a null
 doc_id takes part and is never the smallest id of a component that has another; an empty table gives none.
 """
@@ -28,27 +32,40 @@ from relictum.llm import graph, shared
 from relictum.llm.windows import mix
 
 SHINGLE, RADIUS, BLOCKS, SEED = 4, 4, 7, 42
-#: The pipeline's stage: 5-word shingles, 256 bits. Sets of Jaccard similarity 0.8 differ in 32 to 44 of the bits.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 44
-#: Shards of the 256-bit fingerprint: TABLES times BITS bits drawn at random.
-TABLES, BITS = 48, 20
+#: The pipeline's stage: 5-word shingles, 256 bits. Sets of Jaccard similarity 0.8 differ in 39 of the bits, give or take 6.
+STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 60
+#: Two documents are near-duplicates from this Jaccard similarity on, in fifths.
+FIFTHS = 4
+#: Shards of the 256-bit fingerprint: TABLES times BITS bits drawn at random. A pair of similarity 0.8 is within the radius
+#: and meets in a shard with 0.996 (binomial model).
+TABLES, BITS = 128, 16
+#: The first pass, over pairs that are almost surely near-duplicates.
+CLOSE_TABLES, CLOSE_RADIUS = 24, 30
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """`words` unsigned 64-bit numbers; a bit is set if it is in over half of the shingles' hashes, repeats included."""
+def hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """One hash for each shingle of a text, repeats included; of a shorter text, for all of it."""
     raw = text.encode() if isinstance(text, str) else text or b""
     raw = b" ".join(raw.translate(LOWER).split())  # bytes split at 0x20 and 0x09-0x0D
     if not raw:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     gap = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
     start, end = [0, *(gap + 1).tolist()], [*gap.tolist(), len(raw)]
     spans = zip(start, end[shingle - 1 :]) if len(start) >= shingle else ((0, len(raw)),)
     one = xxhash.xxh64_intdigest
-    h = np.array([one(raw[a:b], SEED) for a, b in spans], np.uint64)
-    out = np.empty(words, np.uint64)
-    for w in range(words):
+    return np.array([one(raw[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """`words` unsigned 64-bit numbers; a bit is set if it is in over half of the shingles' hashes, repeats included."""
+    return majority(hashes(text, shingle), words)
+
+
+def majority(h: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(h) else 0):
         own = h if w == 0 else mix(h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         ones = np.zeros(64, np.int64)
         for at in range(0, len(own), 1 << 16):
@@ -70,6 +87,21 @@ def fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
     return rows.withColumn("node", F.col("f0") if words == 1 else F.xxhash64(*(f"f{w}" for w in range(words))))
 
 
+def shingle_sets(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """docs(doc_id, text, rid) -> doc_id, rid, f0 .. f(words-1), n: number of distinct shingles, node: the set's name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(hashes(x.as_py(), shingle)) for x in batch.column(2)]
+            made = np.stack([majority(h, words) for h in own] or [np.zeros(words, np.uint64)])[: batch.num_rows].view(np.int64)
+            name = [xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in own]
+            columns = [batch.column(0), batch.column(1), *(pa.array(made[:, w]) for w in range(words)), pa.array([len(h) for h in own], pa.int32()), pa.array(name, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", *(f"f{w}" for w in range(words)), "n", "node"])
+
+    fields = ", ".join(f"f{w} long" for w in range(words))
+    return docs.select(F.col("doc_id").cast("long"), "rid", "text").mapInArrow(run, f"doc_id long, rid long, {fields}, n int, node long")
+
+
 def masks(words: int) -> list[list[int]]:
     """For each shard family, the bits that must agree, a mask for each fingerprint word."""
     if words == 1:
@@ -88,10 +120,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(group: np.ndarray, items: np.ndarray, radius: int) -> np.ndarray:
+def forest(group: np.ndarray, items: np.ndarray, radius: int, root_of: np.ndarray | None = None, size: np.ndarray | None = None) -> np.ndarray:
     """BK-trees over the items of each group (equal numbers, together); the smallest item of each linked set, by item.
 
-    group: shard of each item. items: (n, words) fingerprints."""
+    group: shard of each item. items: (n, words) fingerprints.
+
+    With root_of (class of each item) and size (of its set): instead, all linked pairs of two classes whose sizes allow the
+    similarity, as an array (pairs, 2)."""
     n = len(group)
     lead = np.concatenate([[True], group[1:] != group[:-1]])
     root = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
@@ -112,8 +147,9 @@ def forest(group: np.ndarray, items: np.ndarray, radius: int) -> np.ndarray:
         rest[first] = False
         at, live = child[inverse][rest], live[rest]
     label = np.arange(n)
+    pairs = [np.zeros((0, 2), np.int64)]
     if not parents:
-        return label
+        return label if root_of is None else pairs[0]
     parent, gap, child = map(np.concatenate, (parents, gaps, children))
     order = np.lexsort((gap, parent))
     code, child = (parent * 512 + gap)[order], child[order]
@@ -126,13 +162,19 @@ def forest(group: np.ndarray, items: np.ndarray, radius: int) -> np.ndarray:
         while len(query):
             d = distance(query, node)
             near = (d <= radius) & (node < query)
-            label = unite(label, query[near], node[near])
+            if root_of is None:
+                label = unite(label, query[near], node[near])
+            else:
+                one, two = query[near], node[near]
+                low_, high_ = np.minimum(size[one], size[two]), np.maximum(size[one], size[two])
+                fit = (root_of[one] != root_of[two]) & (5 * low_ >= FIFTHS * high_)
+                pairs.append(np.stack([one[fit], two[fit]], 1))
             a = np.searchsorted(code, node * 512 + np.maximum(d - radius, 0))
             b = np.searchsorted(code, node * 512 + np.minimum(d + radius, 511), "right")
             count = b - a
             query = np.repeat(query, count)
             node = child[np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-    return label
+    return label if root_of is None else np.concatenate(pairs)
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,11 +193,14 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
-    """distinct(node, f0..) -> edges(a, b): a spanning forest of the links within each shard."""
+def links(distinct: DataFrame, words: int, radius: int, tables: int | None = None, across: bool = False) -> DataFrame:
+    """distinct(node, f0..) -> edges(a, b): a spanning forest of the links within each shard.
+
+    across: distinct has root and n too; gives all linked pairs of different roots instead."""
     names = [f"f{w}" for w in range(words)]
-    shards = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(names, mask) if m]) for i, mask in enumerate(masks(words))])
-    dealt = distinct.select(F.explode(shards).alias("shard"), "node", *names).repartition("shard").sortWithinPartitions("shard", "node")
+    shards = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(signed(m)).cast("long")) for c, m in zip(names, mask) if m]) for i, mask in enumerate(masks(words)[:tables])])
+    more = ["root", "n"] if across else []
+    dealt = distinct.select(F.explode(shards).alias("shard"), "node", *names, *[F.col(c).cast("long") for c in more]).repartition("shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -175,7 +220,13 @@ def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
         same = rows[1:, 0] == rows[:-1, 0]
         rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         if len(rows):
-            label = forest(rows[:, 0], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), radius)
+            items = np.ascontiguousarray(rows[:, 2 : 2 + words]).view(np.uint64)
+            if across:
+                pairs = forest(rows[:, 0], items, radius, rows[:, -2], rows[:, -1])
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[pairs[:, 0], 1]), pa.array(rows[pairs[:, 1], 1])], names=["a", "b"])
+                return
+            label = forest(rows[:, 0], items, radius)
             away = np.flatnonzero(label != np.arange(len(label)))
             if len(away):
                 yield pa.RecordBatch.from_arrays([pa.array(rows[away, 1]), pa.array(rows[label[away], 1])], names=["a", "b"])
@@ -183,6 +234,36 @@ def links(distinct: DataFrame, words: int, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """The pairs(a, b) whose sets of shingles have the similarity. sets(node, rid): a row of docs(rid, text) that has the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(hashes(x.as_py(), shingle)).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    own = docs.select("rid", "text").join(wanted, "rid").select("node", "text").mapInArrow(run, "node long, own array<long>")
+    own = shared.table(own.dropDuplicates(["node"]), "shingles")
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    return both.where((5 + FIFTHS) * F.size(F.array_intersect("x", "y")) >= FIFTHS * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def similar(docs: DataFrame, shingle: int, words: int, radius: int) -> DataFrame:
+    """As `classes`, of links verified by exact similarity."""
+    docs = docs.withColumn("rid", shared.row_id())
+    prints = shared.table(shingle_sets(docs, shingle, words), "prints")
+    names = [f"f{w}" for w in range(words)]
+    distinct = shared.table(prints.groupBy("node", *names, "n").agg(F.min("rid").alias("rid")), "distinct")
+    close = shared.table(links(distinct, words, min(radius, CLOSE_RADIUS), CLOSE_TABLES).distinct(), "close")
+    first = shared.table(verified(close, docs, distinct.select("node", "rid"), shingle), "first")
+    roots = shared.table(graph.components(first), "roots")
+    apart = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = shared.table(links(apart, words, radius, None, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = shared.table(graph.components(first.unionByName(verified(pairs, docs, distinct.select("node", "rid"), shingle))), "components")
+    return prints.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, rid, f0.., node, root: rows of one root are near-duplicates of each other."""
     prints = shared.table(fingerprints(docs.withColumn("rid", shared.row_id()), shingle, words), "prints")
@@ -193,7 +274,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int
 
 def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
     """The operator: one document of each class stays, that of the smallest doc_id; of equal rows, one. Same columns."""
-    kept = classes(docs, shingle, words, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("one"))
+    kept = similar(docs, shingle, words, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("one"))
     rid = shared.free(docs, "rid_")
     keyed = docs.withColumn(rid, shared.row_id())
     return keyed.join(shared.table(kept.select(F.col("one.rid").alias(rid)), "kept"), rid, "left_semi").dropDuplicates([rid]).select(*[F.col(f"`{c}`") for c in docs.columns])
