@@ -129,6 +129,20 @@ def spread(p: np.ndarray, x: np.ndarray, n: np.ndarray) -> dict:
     return out
 
 
+def spreads(kn: DataFrame, p: np.ndarray) -> DataFrame:
+    """kn(taxid, k, n, total: arrays) -> the deviations and Z of `spread` at the parameters p."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples():
+                n = np.asarray(r.n, float)
+                rows.append((int(r.taxid), *(spread(p, np.tile(np.arange(len(n) // 2), 2), n)[s] for s in ("sigmaD_old", "Zfit_old", "sigmaD_new", "Zfit_new"))))
+            yield pd.DataFrame(rows, columns=["taxid", "sigmaD_old", "Zfit_old", "sigmaD_new", "Zfit_new"])
+
+    return kn.mapInPandas(run, "taxid long, sigmaD_old double, Zfit_old double, sigmaD_new double, Zfit_new double")
+
+
 def interval(values: np.ndarray, level: float, kind: int) -> tuple[float, float]:
     """kind 1: normal, around the mean; kind 2: order statistics."""
     if kind == 1:
@@ -212,6 +226,15 @@ def softmax_fit(x: np.ndarray, counts: np.ndarray, order: int = 6, steps: int =
     return beta
 
 
+def logit_fits(x: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares by a linear fit of the log ratios to the last class, shares by the multinomial fit, and its coefficients."""
+    basis = np.vander(x / max(1.0, np.abs(x).max()), order + 1, increasing=True)
+    share = (counts + 0.5) / (counts + 0.5).sum(1, keepdims=True)
+    linear = np.linalg.lstsq(basis, np.log(share[:, :-1] / share[:, -1:]), rcond=None)[0]
+    beta = softmax_fit(x, counts, order)
+    return softmax(basis @ linear), softmax(basis @ beta), beta
+
+
 def softmax(eta: np.ndarray) -> np.ndarray:
     full = np.concatenate([eta, np.zeros((len(eta), 1))], 1)
     full = np.exp(full - full.max(1, keepdims=True))

@@ -96,3 +96,10 @@ def kn_arrays(counts: DataFrame, key: str, positions: int, single_stranded: bool
         return F.array(*[F.coalesce(F.sum(F.when((F.col("end") == e) & (F.col("pos") == p), F.col(c))), F.lit(0.0)) for e in ("5p", "3p") for p in range(positions)])
 
     return long.groupBy(F.col(key).alias("taxid")).agg(*[side(c).alias(c) for c in ("k", "n", "total")])
+
+
+def first_rates(counts: DataFrame, key: str) -> DataFrame:
+    """end, pos, sub, f: the rates of the smallest key's misincorporations."""
+    first = counts.agg(F.min(key).alias(key))
+    rows = frequencies(counts.join(first, key, "left_semi"), key)
+    return rows.where("substring(sub, 1, 1) <> substring(sub, 2, 1)").select("end", "pos", "sub", "f")

@@ -70,3 +70,8 @@ def merged(tables: list[DataFrame], keys: list[str], sums: list[str]) -> DataFra
     for t in tables[1:]:
         out = out.unionByName(t)
     return out.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def reference_usage(rows: DataFrame) -> DataFrame:
+    """tid, n: how often a reference is an alignment's own or its mate's."""
+    return rows.select(F.explode(F.array("tid", "mtid")).alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("n"))

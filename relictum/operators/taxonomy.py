@@ -83,6 +83,15 @@ def moved(rows: DataFrame, pairs: dict[int, int], columns: tuple[str, ...] = ("t
     return reduce(lambda df, c: df.withColumn(c, F.coalesce(F.try_element_at(table, F.col(c)), F.col(c))), columns, rows)
 
 
+def moved_nodes(nodes: DataFrame, pairs: dict[int, int]) -> DataFrame:
+    """nodes with moved taxids and parents renumbered; of two nodes that end at one taxid, the one that had it before stays."""
+    old = nodes.withColumn("old_", F.col("taxid"))
+    new = moved(old, pairs, ("taxid", "parent"))
+    others = [c for c in nodes.columns if c != "taxid"]
+    rows = new.groupBy("taxid").agg(F.min_by(F.struct(*others), F.struct(F.col("old_") != F.col("taxid"), "old_")).alias("x"))
+    return rows.select("taxid", *[f"x.{c}" for c in others]).select(*nodes.columns)
+
+
 def lca(rows: DataFrame, read: str = "qname", more: tuple[Column, ...] = ()) -> DataFrame:
     """rows(read, path, complete) -> lca of each read: the last node that the smallest and the largest path share.
 
@@ -94,6 +103,11 @@ def lca(rows: DataFrame, read: str = "qname", more: tuple[Column, ...] = ()) ->
     return out.withColumn("lca", F.get("low", F.col("same_") - 1)).drop("low", "high", "same_", "whole")
 
 
+def unique_species(reads: DataFrame, species: str) -> DataFrame:
+    """taxid, nreads: reads(nspec, species) whose references are all of one species, counted by it."""
+    return reads.where("nspec = 1").groupBy(F.col(species).alias("taxid")).agg(F.count(F.lit(1)).alias("nreads"))
+
+
 def descendants(tree: DataFrame, seeds: DataFrame) -> DataFrame:
     """tree: closure. seeds(taxid) -> taxid of the seeds and all below."""
     return tree.join(seeds.select(F.col("taxid").alias("anc")).distinct(), "anc", "left_semi").select("taxid").distinct()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -259,7 +260,7 @@ def _(s, d):
 
 @lca_query("unique_species", "select lca species, count(*) n from lca where nspec = 1 group by lca")
 def _(s, d):
-    return reads(s, d).where("nspec = 1").groupBy(F.col("lca").alias("species")).agg(F.count(F.lit(1)).alias("n"))
+    return tax.unique_species(reads(s, d), "lca").select(F.col("taxid").alias("species"), F.col("nreads").alias("n"))
 
 
 # Roll-ups.
@@ -444,10 +445,7 @@ def _(s, d):
 
 @query("misincorporation_first", f"""{FREQ} select "end", pos, sub, round(f, 6) f from fr where taxon = (select min(taxon) from mm) and sub[1:1] <> sub[2:2]""", whole="sql")
 def _(s, d, most=60):
-    own = counts(s, d, most)
-    first = own.agg(F.min("taxon").alias("taxon"))
-    rows = damage.frequencies(own.join(first, "taxon", "left_semi"), "taxon")
-    return rows.where("substring(sub, 1, 1) <> substring(sub, 2, 1)").select("end", "pos", "sub", r6("f"))
+    return damage.first_rates(counts(s, d, most), "taxon").select("end", "pos", "sub", r6("f"))
 
 
 # Fits at fixed parameters, and fitted.
@@ -471,10 +469,9 @@ def _(s, d, most=60):
 select taxon taxid, round(sqrt({A} * (1 - {A}) * ({PHI} + n0) / (({PHI} + 1) * n0)), 6) sigma_old, round({A} / sqrt({A} * (1 - {A}) * ({PHI} + n0) / (({PHI} + 1) * n0)), 6) z_old,
 round(sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) sigma_new, round({A} / sqrt({A} * (1 - {A}) * ({PHI} + ne) / (({PHI} + 1) * ne)), 6) z_new from e""", whole="sql")
 def _(s, d, most=60):
-    long = damage.kn(counts(s, d, most), "taxon")
-    e = long.groupBy(F.col("taxon").alias("taxid")).agg(F.greatest(F.lit(1.0), F.max(F.when((F.col("end") == "5p") & (F.col("pos") == 0), F.col("n")))).alias("n0"), F.greatest(F.lit(1.0), F.sum(F.col("n") * F.pow(F.lit(1 - Q), 2 * F.col("pos")))).alias("ne"))
-    sigma = lambda n: F.sqrt(A * (1 - A) * (PHI + F.col(n)) / ((PHI + 1) * F.col(n)))
-    return e.select("taxid", r6(sigma("n0"), "sigma_old"), r6(A / sigma("n0"), "z_old"), r6(sigma("ne"), "sigma_new"), r6(A / sigma("ne"), "z_new"))
+    kn = damage.kn_arrays(counts(s, d, most).withColumnRenamed("taxon", "taxid"), "taxid", L)
+    rows = fits.spreads(kn, np.array([A, Q, C, PHI]))
+    return rows.select("taxid", *[r6(c, n) for c, n in (("sigmaD_old", "sigma_old"), ("Zfit_old", "z_old"), ("sigmaD_new", "sigma_new"), ("Zfit_new", "z_new"))])
 
 
 @query("dfit_params")
@@ -582,8 +579,7 @@ def _(s, d):
 
 @query("reference_usage", "select tid, count(*) n from (select tid from aln union all select mtid from aln) group by tid")
 def _(s, d):
-    own = alignments(s, d)
-    return own.select("tid").unionByName(own.select(F.col("mtid").alias("tid"))).groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    return select.reference_usage(alignments(s, d))
 
 
 @query("merge_damage", """select taxon id, "end", pos, sub, cast(2 * w as double) w from mm""", whole="sql")

@@ -126,8 +126,12 @@ def decode_records(raw: bytes, at: int, refs: list[tuple[int, str, int]]) -> Ite
 
 
 def read_bam(spark: SparkSession, path: str, ignore_order: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(alignments, refs) of BAM files. BGZF is gzip in members. A file is one task; large inputs should come as several files."""
+    """(alignments, refs) of BAM files. BGZF is gzip in members. A file is one task; large inputs should come as several files.
+
+    aln_idx numbers records by the file's place among the sorted paths, then by their place in the file. All files must name
+    the same references in the same order."""
     files = spark.read.format("binaryFile").load(path)
+    place = {r.path: i for i, r in enumerate(files.select("path").orderBy("path").collect())}  # a path for each file
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,24 +142,27 @@ def read_bam(spark: SparkSession, path: str, ignore_order: bool = False) -> tupl
     first = files.orderBy("path").limit(1).select("content").mapInArrow(heads, "head string, names array<string>, sizes array<int>").first()
     check_order(first.head.splitlines(), ignore_order)
     refs = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(zip(first.names, first.sizes))], "tid int, rname string, len int")
+    expected = list(zip(first.names, first.sizes))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.int32()]
         for batch in batches:
-            for content in batch.column(0):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = gzip.decompress(content.as_py())
                 _, own, at = decode_header(raw)
-                held = []
+                if [x[1:] for x in own] != expected:
+                    raise ValueError(f"{path} has other references than the first file")
+                held, before = [], place[path] << 40
                 for row in decode_records(raw, at, own):
-                    held.append(row)
+                    held.append((before + row[0], *row[1:]))
                     if len(held) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
                         held = []
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
-    return files.select("content").mapInArrow(records, SCHEMA), refs
+    return files.select("path", "content").mapInArrow(records, SCHEMA), refs
 
 
 def sam_lines(rows: DataFrame) -> DataFrame:
@@ -165,6 +172,16 @@ def sam_lines(rows: DataFrame) -> DataFrame:
     return rows.select("aln_idx", F.concat_ws("\t", "qname", F.col("flag").cast("string"), "rname", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", qual, *tags).alias("value"))
 
 
+def subset_header(head: list[str], kept: list[str]) -> list[str]:
+    """A header with only the references named, in the order given; all its other lines stay, in their places."""
+    lines = {dict(x.split(":", 1) for x in line.split("\t")[1:])["SN"]: line for line in head if line.startswith("@SQ")}
+    lost = [name for name in kept if name not in lines]
+    if lost:
+        raise ValueError(f"no @SQ line for {lost[0]}")
+    first = next((i for i, line in enumerate(head) if line.startswith("@SQ")), len(head))
+    return [*(x for x in head[:first]), *(lines[name] for name in kept), *(x for x in head[first:] if not x.startswith("@SQ"))]
+
+
 def write_sam(rows: DataFrame, path: str, head: list[str], compression: str = "none") -> None:
     """SAM text in input order: the header as the first line of the first part, then range-sorted parts."""
     top = rows.sparkSession.createDataFrame([(-1, "\n".join(head))], "aln_idx long, value string")

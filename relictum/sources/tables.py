@@ -121,6 +121,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True)
 
 
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    """A table of fits with whatever columns its header names: taxid and ncall as whole numbers, all others as doubles."""
+    rows = read_table(spark, path)
+    if "taxid" not in rows.columns:
+        raise ValueError("a table of fits has a column taxid")
+    kind = {"taxid": "int", "ncall": "long"}
+    number = lambda c: F.col(f"`{c}`").try_cast("double").try_cast(kind[c]) if c in kind else F.col(f"`{c}`").try_cast("double")
+    return rows.select(*[number(c).alias(c) for c in rows.columns]).where("taxid is not null")
+
+
 def write_table(rows: DataFrame, path: str, order: list[str]) -> None:
     """A tab-separated file set with a header, sorted; doubles with six decimals, nulls as NA."""
     shown = [F.when(F.col(c).isNull(), F.lit("NA")).otherwise(F.format_string("%f", c) if t == "double" else F.col(c).cast("string")).alias(c) for c, t in rows.dtypes]
