@@ -44,15 +44,21 @@ def wide(counts: DataFrame, key: str, value: str = "w") -> DataFrame:
 
 def arrays(counts: DataFrame, nreads: DataFrame, key: str, positions: int) -> DataFrame:
     """key, nal, fw, bw: 16 cells for each position, as the exchange file holds them."""
-    def side(end: str):
-        cells = [F.coalesce(F.sum(F.when((F.col("end") == end) & (F.col("pos") == p) & (F.col("sub") == s), F.col("w"))), F.lit(0.0)) for p in range(positions) for s in SUBSTITUTIONS]
-        return F.array(*cells)
-
-    matrices = counts.groupBy(key).agg(side("5p").alias("fw"), side("3p").alias("bw"))
+    place = F.when(F.col("end") == "3p", 16 * positions).otherwise(0) + 16 * F.col("pos") + 4 * (F.instr(F.lit("ACGT"), F.substring("sub", 1, 1)) - 1) + F.instr(F.lit("ACGT"), F.substring("sub", 2, 1)) - 1
+    own = counts.where((F.col("pos") >= 0) & (F.col("pos") < positions) & F.col("end").isin("5p", "3p")).select(key, place.cast("int").alias("i_"), "w")
+    cells = laid_out(own.groupBy(key, "i_").agg(F.sum("w").alias("w")), key, ["w"], 32 * positions)
+    matrices = cells.select(key, F.slice("w", 1, 16 * positions).alias("fw"), F.slice("w", 16 * positions + 1, 16 * positions).alias("bw"))
     none = F.array_repeat(F.lit(0.0), 16 * positions)
     return nreads.join(matrices, key, "left").select(F.col(key).alias("id"), F.col("nreads").alias("nal"), F.coalesce("fw", none).alias("fw"), F.coalesce("bw", none).alias("bw"))
 
 
+def laid_out(rows: DataFrame, key: str, values: list[str], n: int) -> DataFrame:
+    """rows(key, i_, values), one for each key and i_ -> key and for each value an array over i_ from 0 to n - 1, 0 where there is no row."""
+    held = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i_", F.struct(*values)))).alias("m_"))
+    cell = lambda v: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("m_", i)[v].cast("double"), F.lit(0.0)))
+    return held.select(key, *[cell(v).alias(v) for v in values])
+
+
 def unfolded(matrices: DataFrame) -> DataFrame:
     """The reverse of `arrays`: id, end, pos, sub, w of non-zero cells."""
     subs = F.array(*map(F.lit, SUBSTITUTIONS))
@@ -90,12 +96,9 @@ def kn(counts: DataFrame, key: str, single_stranded: bool = False) -> DataFrame:
 
 def kn_arrays(counts: DataFrame, key: str, positions: int, single_stranded: bool = False) -> DataFrame:
     """taxid, k, n, total as arrays over 5' then 3' positions."""
-    long = kn(counts, key, single_stranded)
-
-    def side(c: str):
-        return F.array(*[F.coalesce(F.sum(F.when((F.col("end") == e) & (F.col("pos") == p), F.col(c))), F.lit(0.0)) for e in ("5p", "3p") for p in range(positions)])
-
-    return long.groupBy(F.col(key).alias("taxid")).agg(*[side(c).alias(c) for c in ("k", "n", "total")])
+    long = kn(counts, key, single_stranded).where((F.col("pos") >= 0) & (F.col("pos") < positions))
+    place = (F.when(F.col("end") == "3p", positions).otherwise(0) + F.col("pos")).cast("int")
+    return laid_out(long.select(F.col(key).alias("taxid"), place.alias("i_"), "k", "n", "total"), "taxid", ["k", "n", "total"], 2 * positions)
 
 
 def first_rates(counts: DataFrame, key: str) -> DataFrame:
