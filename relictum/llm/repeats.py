@@ -80,13 +80,15 @@ def candidates(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def pieces(docs: DataFrame, wanted: DataFrame, unit: str, width: int, to_rows: Callable, schema: str) -> DataFrame:
-    """Texts of the wanted representatives (key, digest, rid, start, n), through to_rows(list of (key, digest, n, bytes))."""
+    """Texts of the wanted representatives (key, digest, rid, start, n), through to_rows(list of (key, digest, n, bytes)).
+
+    docs keeps all its columns, so that its shuffle by rid is the one that `applied` reads too."""
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "digest", "start", "n")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, at = texts_of(batch.column(0))
-            lists = batch.column(1)
+            text, at = texts_of(batch.column("text"))
+            lists = batch.column("want")
             flat = lists.flatten()
             key, digest, start, n = (flat.field(x).to_numpy() for x in ("key", "digest", "start", "n"))
             ends = np.cumsum(lists.value_lengths().to_numpy())
@@ -111,7 +113,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, unit: str, width: int, to_rows: C
             if got:
                 yield from to_rows(got)
 
-    return docs.join(by_doc, "rid").select("text", "want").mapInArrow(run, schema)
+    return docs.join(by_doc, "rid").select(*[c for c in docs.columns if c != "rid"], "want").mapInArrow(run, schema)
 
 
 def plain_rows(got):
@@ -204,7 +206,7 @@ def applied(docs: DataFrame, found_spans: DataFrame, width: int, unit: str, fini
             made = [pa.array(x) for x in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *(f"_{i}" for i in range(len(made)))])
 
-    return docs.join(found_spans, "rid", "left").select(*columns, *[c for c in ("text", "spans") if c not in columns]).mapInArrow(run, schema)
+    return docs.join(found_spans, "rid", "left").select(*[c for c in docs.columns if c != "rid"], "spans").mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

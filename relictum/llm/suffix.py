@@ -5,6 +5,8 @@ the larger ones are induced by one scan over the first-byte buckets. Adjacent en
 windows of `width` bytes with an equal neighbour are repeated. Blocks hold whole keys (see repeats.py), so equal windows
 are always in one block. Sorting stops at `width` bytes: suffixes equal that far may stand in any order.
 
+The operator and the query also find repeated windows of words, by a suffix array of words over window starts only.
+
 Defined results: null text counts as empty; texts shorter than `width` keep everything; repeated rows (even with equal
 doc_id) count as separate documents, so both lose what they share; extra columns do not matter; an empty table gives none.
 """
@@ -122,8 +124,9 @@ def repeated_words(width: int):
 
 
 def find(docs: DataFrame, width: int = WIDTH, k: int = K, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """docs with a rid, and the spans to remove by rid."""
-    docs = repeats.keyed(docs)
+    """docs with a rid first, and the spans to remove by rid."""
+    columns = docs.columns
+    docs = repeats.keyed(docs).select("rid", *columns)
     return docs, units_found(docs, "byte", width, k, repeated_bytes(width), block)
 
 
@@ -132,8 +135,7 @@ def units_found(docs: DataFrame, unit: str, width: int, k: int, worker, block: i
     rows = shared.table(repeats.segment_rows(docs, unit, width, k), "segments")
     keys = shared.table(repeats.repeated_keys(rows), "keys")
     found = shared.table(repeats.candidates(rows, keys), "candidates")
-    narrow = docs.select("rid", "text")
-    return repeats.spans(found, repeats.marks(narrow, found, unit, width, worker, block))
+    return repeats.spans(found, repeats.marks(docs, found, unit, width, worker, block))
 
 
 def keep(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -144,13 +146,25 @@ def keep(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return text[np.cumsum(mask[:-1]) == 0].tobytes()
 
 
-def both_removed(width: int, words: int):
-    """repeats.removed for spans of bytes and, from negative starts, of words. Bytes to remove as sorted maximal runs."""
+def both_spans(by_byte: DataFrame, by_word: DataFrame) -> DataFrame:
+    """Spans of bytes and of words together by rid; starts of words become negative."""
+    tagged = F.transform("spans", lambda x: F.struct((-1 - x["start"]).alias("start"), x["froms"].alias("froms"), x["tos"].alias("tos")))
+    both = by_byte.unionByName(by_word.select("rid", tagged.alias("spans")))
+    return both.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def parted(value, width: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes, and of words, from the spans of both kinds."""
+    value = value or []
+    by_word = [{**x, "start": -1 - x["start"]} for x in value if x["start"] < 0]
+    return *repeats.removed([x for x in value if x["start"] >= 0], width), *repeats.removed(by_word, words)
 
-    def removed(value, _width: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        value = value or []
-        starts, ends = repeats.removed([x for x in value if x["start"] >= 0], width)
-        first, last = repeats.removed([{**x, "start": -1 - x["start"]} for x in value if x["start"] < 0], words)
+
+def both_removed(words: int):
+    """repeats.removed for spans of both kinds. Bytes to remove as sorted maximal runs."""
+
+    def removed(value, width: int, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends, first, last = parted(value, width, words)
         if len(first):
             s, e = word_spans(text)
             starts, ends = union(np.concatenate([starts, s[first]]), np.concatenate([ends, e[last - 1]]))
@@ -169,27 +183,32 @@ def dedup(docs: DataFrame, width: int = WIDTH, words: int = 0) -> DataFrame:
     packed = docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("row_"))
     keyed, spans = find(packed, width)
     if words:
-        # Word numbers become negative, so that both kinds go back to their document together.
-        by_word = units_found(keyed, "word", words, WORDS_K, repeated_words(words))
-        tagged = F.transform("spans", lambda x: F.struct((-1 - x["start"]).alias("start"), x["froms"].alias("froms"), x["tos"].alias("tos")))
-        both = spans.unionByName(by_word.select("rid", tagged.alias("spans")))
-        spans = both.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        spans = both_spans(spans, units_found(keyed, "word", words, WORDS_K, repeated_words(words)))
 
     def finish(text, starts, ends):
         return (keep(text, starts, ends).decode("utf-8", "ignore") if len(starts) else None,)
 
     kept = ["doc_id", "text", "row_"]
     schema = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in kept)
-    removed = both_removed(width, words) if words else repeats.removed
-    done = repeats.applied(keyed.select("rid", *kept), spans, width, "byte", finish, f"{schema}, cut_ string", kept, removed)
+    removed = both_removed(words) if words else repeats.removed
+    done = repeats.applied(keyed, spans, width, "byte", finish, f"{schema}, cut_ string", kept, removed)
     shown = {"doc_id": F.col("doc_id"), "text": F.coalesce("cut_", "text")} | {c: F.col(f"row_.c{i}") for i, c in enumerate(others)}
     return done.select(*[shown[c].alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, spans = find(shared.read(spark, sf_dir, "documents"))
+    """The contract's 400-byte strings, and beside them n_passage_words: words of each text in repeated windows of 50 words,
+    which `dedup(words=50)` takes out too. Most passages of 51 to 65 words are shorter than 400 bytes."""
+    docs = repeats.keyed(shared.read(spark, sf_dir, "documents").select("doc_id", "text")).select("rid", "doc_id", "text")
+    by_byte = units_found(docs, "byte", WIDTH, K, repeated_bytes(WIDTH))
+    by_word = units_found(docs, "word", STAGE_WORDS, WORDS_K, repeated_words(STAGE_WORDS))
 
-    def finish(text, starts, ends):
-        return len(text), int((ends - starts).sum()), len(starts), hashlib.sha256(keep(text, starts, ends) if len(starts) else text.tobytes()).hexdigest()
+    def finish(text, starts, ends, words):
+        return len(text), int((ends - starts).sum()), len(starts), hashlib.sha256(keep(text, starts, ends) if len(starts) else text.tobytes()).hexdigest(), words
+
+    def removed(value, width, text):
+        starts, ends, first, last = parted(value, width, STAGE_WORDS)
+        return starts, ends, int((last - first).sum())
 
-    return repeats.applied(docs.select("rid", "doc_id", "text"), spans, WIDTH, "byte", finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+    return repeats.applied(docs, both_spans(by_byte, by_word), WIDTH, "byte", finish, schema, ["doc_id"], removed)
