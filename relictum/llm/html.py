@@ -1,20 +1,25 @@
 """Main-text extraction by composite text density (op7).
 
 A page is read into an element tree. Every element gets its characters per tag, adjusted by the share of link characters
-and link tags (composite text density); an element's density sum is that of its children. The element of the largest sum
-anchors the article; the lowest density on its path to body is the threshold, and the subtree grows upwards while the
-parent is no denser in links and adds only text above the threshold, and always to an enclosing article or main element. What is
-never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) counts for
-nothing and is left out wherever it stands.
+and link tags (composite text density); an element's density sum is that of its children. The element of the largest sum is
+the article's core; the lowest density on its path to body is the threshold. On the way up to body, or to an article or main
+element around the core, what stands beside the path joins if it reaches the threshold and is not mostly links; within an
+article or main element, and for headings before text that joins, it need not reach the threshold.
+
+Elements that are never article text by their tag (menus, footers, sidebars, forms, scripts, styles) are left out. A class, id or
+role can only name an element as a suspect (menu, notice, advert, reader comments ..): a suspect is left out if the core lies
+outside, and the core lies in one only if the text outside does not support another.
 
 Defined results: null or blank html gives the empty text; broken markup is read as far as it goes; repeated rows give a
-row each; other columns are passed through; an empty table gives none.
+row each; other columns are passed through; an empty table gives none. Reading takes time in proportion to the page's
+length, however deep its elements nest and however many end tags stray.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,37 +33,60 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
 NEVER = frozenset("head nav footer aside form button select option textarea script style noscript template iframe object svg canvas dialog menu input title meta link audio video map".split())
-#: Words of class, id and role that mark what is not the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner|sidebar|side|aside|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|skip|toolbar|widget|search|contentinfo|complementary|navigation)(?:$|[\s_-])",
-    re.I,
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class, id and role that name what is not the article, as a whole token or as one end of a compound.
+SUSPECT = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies "
+    "consent notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond pagination pager "
+    "toolbar widget contentinfo complementary".split()
 )
+#: With these at one end, a compound tells of a state or of the article itself (has-sidebar, share-enabled, related-post).
+STATE = frozenset("has have with without no not is are hide hidden show shown enable enabled disable disabled on off open closed allow allowed post posts article articles content contents entry page body main story text container wrapper layout results".split())
+#: Headings of reader comments.
+COMMENTS = re.compile(r"\W*(?:\d+\s+)?(?:reader\s+)?(?:comments?|responses?|replies|kommentare?|commentaires?|comentarios?)\b\W*(?:\(?\d+\)?)?\W*", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What a start tag ends, if it is the innermost open block.
+IMPLIED = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
+
+
+def suspect(value: str) -> bool:
+    """Whether a class, id or role names something beside the article."""
+    for token in value.lower().split():
+        if token in SUSPECT:
+            return True
+        parts = re.split(r"[-_]+", token)
+        if len(parts) > 1 and (parts[0] in SUSPECT or parts[-1] in SUSPECT) and not (parts[0] in STATE or parts[-1] in STATE):
+            return True
+    return False
 
 
 class Tree:
-    """Elements by number in page order: parent, tag, whether left out; texts as (element, block, text)."""
+    """Elements by number in page order: parent, tag, whether left out, whether suspect; texts as (element, block, text)."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.out = [-1], ["#root"], [False]
+        self.parent, self.tag, self.out, self.suspect = [-1], ["#root"], [False], [False]
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
+        # The open elements; of each name, of blocks, and of those that hold stray end tags back, their places in that list.
+        self.path = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.barriers = [0]
         self.read(html)
 
-    def text(self, at: int, text: str) -> None:
-        if text and not self.out[at]:
-            self.texts.append((at, self.block, unescape(text) if "&" in text else text))
+    def text(self, text: str) -> None:
+        if text and not self.out[self.path[-1]]:
+            self.texts.append((self.path[-1], self.block, unescape(text) if "&" in text else text))
 
     def read(self, html: str) -> None:
-        at, pos, size = 0, 0, len(html)
+        pos, size = 0, len(html)
         while pos < size:
             low = html.find("<", pos)
             if low < 0:
-                self.text(at, html[pos:])
+                self.text(html[pos:])
                 return
-            self.text(at, html[pos:low])
+            self.text(html[pos:low])
             if html.startswith("<!--", low):
                 end = html.find("-->", low + 4)
                 pos = size if end < 0 else end + 3
@@ -73,7 +101,7 @@ class Tree:
                     end = html.find(">", low)
                     pos = size if end < 0 else end + 1
                 else:
-                    self.text(at, "<")
+                    self.text("<")
                     pos = low + 1
                 continue
             pos = found.end()
@@ -81,57 +109,62 @@ class Tree:
             if name not in INLINE:
                 self.block += 1
             if found[1]:
-                at = self.close(at, name)
+                self.close(name)
                 continue
-            if name not in INLINE:
-                at = self.imply(at, name)
-            own = self.open(at, name, found[3])
+            if name not in INLINE and self.tag[self.path[self.blocks[-1]]] in IMPLIED.get(name, ("p",)):
+                self.cut(self.blocks[-1])
+            self.add(name, found[3])
             if name in VOID or found[3].endswith("/") and name not in INLINE:
                 if name == "br":
-                    self.text(at, " ")
+                    self.text(" ")
                 continue
             if name in RAW:
                 end = re.compile(f"</{name}", re.I).search(html, pos)
                 close = html.find(">", end.start()) if end else -1
                 pos = size if close < 0 else close + 1
                 continue
-            at = own
+            place = len(self.path)
+            self.places[name].append(place)
+            if name not in INLINE:
+                self.blocks.append(place)
+            if name in ("article", "main", "body"):
+                self.barriers.append(place)
+            self.path.append(len(self.tag) - 1)
 
-    def open(self, at: int, name: str, attributes: str) -> int:
-        out = self.out[at] or name in NEVER or name == "header" and not self.inside(at, ("article", "main"))
+    def add(self, name: str, attributes: str) -> None:
+        up = self.path[-1]
+        out, own = self.out[up] or name in NEVER, self.suspect[up]
+        if name == "header" and not (self.places["article"] or self.places["main"]):
+            own = True
         if not out and attributes and name not in ("html", "body", "article", "main"):
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = "".join(values)
-                if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true" or MARKED.search(value):
+                if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
                     out = True
-        self.parent.append(at)
+                elif not own and suspect(value):
+                    own = True
+        self.parent.append(up)
         self.tag.append(name)
         self.out.append(out)
-        return len(self.tag) - 1
+        self.suspect.append(own)
 
-    def inside(self, at: int, names: tuple) -> bool:
-        while at > 0:
-            if self.tag[at] in names:
-                return True
-            at = self.parent[at]
-        return False
+    def close(self, name: str) -> None:
+        """Ends the innermost open element of that name and all within it; an end tag that strays does nothing."""
+        places = self.places.get(name)
+        if not places:
+            return
+        if name in INLINE and places[-1] < self.blocks[-1] or name in ("p", "li", "div", "span") and places[-1] < self.barriers[-1]:
+            return
+        self.cut(places[-1])
 
-    def close(self, at: int, name: str) -> int:
-        up = at
-        while up > 0 and self.tag[up] != name:
-            if name in INLINE and self.tag[up] not in INLINE or name not in ("html", "body") and self.tag[up] in ("article", "main", "body") and name in ("p", "li", "div", "span") and name != self.tag[up] and self.tag[up] != "body":
-                return at  # a stray end tag
-            up = self.parent[up]
-        return self.parent[up] if up > 0 else at
-
-    def imply(self, at: int, name: str) -> int:
-        """End tags that a start tag implies: a block ends an open paragraph, an item the item before."""
-        up, same = at, {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ("p",))
-        while up > 0 and (self.tag[up] in INLINE or self.tag[up] == "p" or self.tag[up] in same):
-            if self.tag[up] in same or self.tag[up] == "p":
-                return self.parent[up]
-            up = self.parent[up]
-        return at
+    def cut(self, place: int) -> None:
+        while len(self.path) > place:
+            name = self.tag[self.path.pop()]
+            self.places[name].pop()
+            if self.blocks[-1] == len(self.path):
+                self.blocks.pop()
+            if self.barriers[-1] == len(self.path):
+                self.barriers.pop()
 
 
 def density(chars: int, links: int, tags: int, link_tags: int, body_chars: int, body_links: int) -> float:
@@ -143,6 +176,24 @@ def density(chars: int, links: int, tags: int, link_tags: int, body_chars: int,
     return c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9, max(base, 1.0001))
 
 
+def core(tree: Tree, chars: list[int], sums: list[float]) -> int:
+    """The element of the largest density sum; within a suspect only if no element outside has a tenth of its text."""
+    n = len(sums)
+    known = [i for i in range(n) if not tree.out[i]]
+    best = max(known, key=lambda i: sums[i])
+    if not tree.suspect[best]:
+        return best
+    plain = max((i for i in known if not tree.suspect[i] and chars[i]), key=lambda i: sums[i], default=best)
+    # What a plain element has beside its suspects.
+    own = [0] * n
+    for at, _, text in tree.texts:
+        if not tree.suspect[at]:
+            own[at] += len(text.strip())
+    for i in range(n - 1, 0, -1):
+        own[tree.parent[i]] += own[i]
+    return plain if own[0] * 10 >= chars[best] else best
+
+
 def extract(html: str | None) -> str:
     """The page's main text: blocks joined by a line feed."""
     if not html:
@@ -152,6 +203,7 @@ def extract(html: str | None) -> str:
     chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for at, _, text in tree.texts:
         chars[at] += len(text.strip())
+    commented(tree)
     for i in range(n - 1, 0, -1):
         if tree.tag[i] == "a":
             links[i], link_tags[i] = chars[i], link_tags[i] + 1
@@ -173,27 +225,33 @@ def extract(html: str | None) -> str:
             sums[tree.parent[i]] += dense[i]
     for i in range(n):  # an element without element children is its own only child
         sums[i] = sums[i] or dense[i]
-    best = max(range(n), key=lambda i: (not tree.out[i], sums[i]))
+    best = core(tree, chars, sums)
     path = [best]
-    while path[-1] > 0:
+    while path[-1] > 0 and path[-1] != body:
         path.append(tree.parent[path[-1]])
-    within = path[: path.index(body) + 1] if body in path else path
-    threshold = min(dense[i] for i in within)
-    inside = [i for i in path if tree.tag[i] in ("article", "main")]
-    top = inside[-1] if inside else best
-    if not inside:
-        children: dict[int, list[int]] = {}
-        for i in range(1, n):
-            children.setdefault(tree.parent[i], []).append(i)
-        for up in path[1:]:
-            others = [i for i in children[up] if i != top and chars[i] and not tree.out[i]]
-            if tree.tag[top] not in INLINE and tree.tag[top] not in ("p", "h1", "h2", "h3", "li", "td", "blockquote") and any(dense[i] < threshold or links[i] * 2 > chars[i] for i in others):
-                break
-            top = up
+    threshold = min(dense[i] for i in path)
+    on_path = set(path)
+    inside = [k for k, i in enumerate(path) if tree.tag[i] in ("article", "main")]
     member = [False] * n
-    member[top] = True
-    for i in range(top + 1, n):
-        member[i] = member[tree.parent[i]]
+    member[best] = True
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if tree.parent[i] in on_path:
+            children.setdefault(tree.parent[i], []).append(i)
+    for k, up in enumerate(path[1 : inside[-1] + 1 if inside else None], 1):
+        member[up] = True
+        joined = True  # whether what follows has joined
+        for i in reversed(children.get(up, [])):
+            if i in on_path:
+                joined = True
+            elif chars[i] and not tree.out[i] and not (tree.suspect[i] and not tree.suspect[up]):
+                plain = links[i] * 2 <= chars[i]
+                member[i] = joined = plain and (bool(inside) or dense[i] >= threshold or joined and tree.tag[i] in HEADINGS)
+    cut = [False] * n  # suspects that the core lies outside of, and what is in them
+    for i in range(1, n):
+        up = tree.parent[i]
+        cut[i] = cut[up] or tree.suspect[i] and not tree.suspect[up] and i not in on_path
+        member[i] = not cut[i] and (member[i] or member[up] and (up == best or up not in on_path))
     blocks: dict[int, list[str]] = {}
     for at, block, text in tree.texts:
         if member[at]:
@@ -202,6 +260,32 @@ def extract(html: str | None) -> str:
     return "\n".join(x for x in found if x)
 
 
+def commented(tree: Tree) -> None:
+    """An element whose first text is a heading of reader comments is a suspect, if it is not all of the page's text."""
+    first: dict[int, int] = {}
+    for at, _, text in tree.texts:
+        if not text.strip():
+            continue
+        up = at
+        while up > 0 and up not in first:
+            first[up] = at
+            up = tree.parent[up]
+        if up == 0 and 0 not in first:
+            first[0] = at
+    heading = defaultdict(list)
+    for at, _, text in tree.texts:
+        if tree.tag[at] in HEADINGS:
+            heading[at].append(text)
+    marked = {at for at, x in heading.items() if COMMENTS.fullmatch("".join(x).strip())}
+    if not marked:
+        return
+    for i, at in first.items():
+        if at in marked and i != at and tree.tag[i] not in ("#root", "html", "body", "article", "main"):
+            tree.suspect[i] = True
+    for i in range(1, len(tree.tag)):
+        tree.suspect[i] = tree.suspect[i] or tree.suspect[tree.parent[i]]
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """The operator: pages with text and n_chars in place of html."""
     others = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
