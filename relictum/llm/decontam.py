@@ -3,7 +3,7 @@
 Every window of an item (10 words, or the whole item if shorter) of m words holds, wherever it stands in a document, one
 block of b = (m + 1) // 2 words that starts at a multiple of b. So a document is scanned at every b-th word only: the
 block's hash is looked up in a bitmap of fixed size, hits then in the broadcast hash set of the items' blocks, and
-what is left is verified word by word. The set is broadcast up to BROADCAST rows, counted first; beyond that the same
+what is left is verified word by word. The set is broadcast up to BROADCAST bytes, summed first; beyond that the same
 join is left to Spark, which then shuffles. Documents are never shuffled, only their hits and counts.
 
 Defined results: a null text has no words; items without words are no windows; equal item_ids count once; repeated rows of documents give a row each;
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from relictum.llm import shared
 
 N = 10
-#: Rows of the items' block table up to which it is broadcast (some tens of bytes each).
-BROADCAST = 500_000
+#: Bytes of the items' block table (words, item ids and 64 a row besides) up to which it is broadcast.
+BROADCAST = 64 << 20
 #: 64-bit cells of the bitmap.
 CELLS = 1 << 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,7 +58,8 @@ def hits(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     slot = (F.pmod("h", F.lit(CELLS)).alias("cell"), F.shiftrightunsigned("h", 58).cast("int").alias("bit"))
     for cell, bit in grams.select(*slot).distinct().collect():  # at most 64 * CELLS
         cells[cell] |= 1 << bit
-    few = grams.count() <= BROADCAST
+    size = F.sum(F.lit(64) + F.octet_length(F.concat_ws(" ", "win")) + F.octet_length(F.concat_ws(",", "items")))
+    few = (grams.agg(size).first()[0] or 0) <= BROADCAST
     bitmap = F.split(F.lit(",".join(str(x - (x >> 63 << 64)) for x in cells)), ",").cast("array<bigint>")
     known = lambda h: F.getbit(F.get(bitmap, F.pmod(h, F.lit(CELLS)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")) == 1
 

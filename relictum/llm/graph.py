@@ -22,20 +22,25 @@ def _star(sides: DataFrame, large: bool) -> DataFrame:
     rows = rows.select("a", "b")
     if not large:
         rows = rows.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return shared.table(rows.where("a <> b").distinct(), "stars")
+    out = shared.table(rows.where("a <> b").distinct(), "stars")
+    shared.drop(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a long, b long), undirected -> (node, root) for every node with an edge; root is the smallest node reachable.
 
-    Only the number and checksum of edges come to the driver. Self-links and nulls are ignored; no edges give no rows."""
+    Each round's tables are removed once the next one's are written. Only the number and checksum of edges come to the driver. Self-links and nulls are ignored; no edges give no rows."""
     now = shared.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _sum(now)
     for _ in range(rounds):
         if not before[0]:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        now = _star(_star(both, True).select(F.col("a").alias("u"), F.col("b").alias("v")), False)
+        large = _star(both, True)
+        small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False)
+        shared.drop(now, large)
+        now = small
         after = _sum(now)
         if after == before:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder of our own."""
+    """The cluster's spark.checkpoint.dir. Where it is unset and everything runs in one process, as in tests, a temporary folder of
+    our own; on a cluster an error, as no other machine would see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="relictum-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,7 +31,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = path(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_at)
+
+
+def place(spark: SparkSession, at: str) -> tuple:
+    """The file system that holds a path, and the path, as Spark's own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    files, path = place(spark, at)
+    files.delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
