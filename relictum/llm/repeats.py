@@ -144,6 +144,8 @@ def by_key(rows: DataFrame, worker: Callable[[list[bytes], list[int]], list[np.n
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] == held[-1][:2]:  # equal rows of documents share a rid; one of them is enough
+                    continue
                 if size > block and row[0] != held[-1][0]:
                     yield from marked(held)
                     held, size = [], 0
