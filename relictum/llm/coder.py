@@ -1,90 +1,136 @@
 """Adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
-An id of up to 16 bits is four nibbles. The two high nibbles are predicted by mixing order-0, order-1 and order-2 counts
-(contexts: nothing, the id before, the two before; always with the nibbles of this id so far), the two low ones by
-order-0 counts. Mixing weights follow how well each order predicted this lane's nibbles. All counts are integers and all
-arithmetic on them is elementwise, so encoder and decoder agree bit for bit. Every block starts from a fresh model.
+An id of up to 16 bits is four nibbles. Each nibble is predicted by mixing order-0, order-1 and order-2 distributions
+(contexts: nothing, the id before, the two before; always with the nibbles of this id so far). A distribution is a row of
+16 numbers: how often it was met (its age), then 15 cumulative shares that move towards each nibble seen, faster while the
+row is young. The mix weighs each order by its rows' ages and by how well it lately did in this lane. All of it is integer
+arithmetic, elementwise, so encoder and decoder agree bit for bit. Every block starts from a fresh model.
 
 A lane is a block; numpy steps through the lanes' ids together, so the cost of a step is shared by up to LANES blocks.
+Factors of whole rows are read from tables of rows: numpy does that several times as fast as it stretches a column.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LANES, BLOCK = 512, 8192
-ORDER1, ORDER2 = 1 << 10, 1 << 11
-TOTAL, HALF = 1 << 16, np.uint64(16)
-_FIRST = (0, 1, 17, 273)  # where each nibble's order-0 contexts begin
+LANES, BLOCK = 768, 2048
+#: Rows of each order's table in a lane, as powers of two; contexts share rows by hash.
+ROWS = (11, 12, 12)
+#: Cumulative shares run from 0 to FULL in a row and, with a least share for every nibble, to TOTAL in the mix.
+TOTAL, LEAST = 1 << 15, 4
+FULL = TOTAL - 16 * LEAST
+HALF = np.uint64(16)
+#: Rows met so often age no further. By order and age: how far shares move, a right shift.
+AGES = 7
+SHIFT = ((3, 3, 4, 4, 4, 5, 5, 5), (1, 2, 2, 3, 3, 4, 4, 5), (1, 1, 2, 2, 3, 3, 4, 4))
+#: What an order's row is worth by age, and by the order's trust in this lane (0 to TRUST - 1).
+WORTH = ((96, 96, 96, 96, 96, 96, 96, 96), (1, 6, 12, 24, 50, 90, 120, 140), (1, 6, 14, 30, 60, 90, 120, 120))
+TRUST = 8
+#: Parts of the mix.
+PARTS = 64
+
+_NIBBLES = np.arange(16)
+#: Where the shares of a row move after each nibble; the first place is not a share.
+_TARGET = np.where(_NIBBLES[None, :] > _NIBBLES[:, None], FULL, 0).astype(np.int16)
+_FRESH = (_NIBBLES * (FULL // 16)).astype(np.int16)
+_STEPS = (_NIBBLES * LEAST).astype(np.int16)
+#: Shifts as rows, by order and age.
+_SHIFT = np.repeat(np.array(SHIFT, np.int16).reshape(-1, 1), 16, 1)
+_ORDERS = np.arange(3)[:, None]
+
+
+def _mixes() -> np.ndarray:
+    """For each order, rows of its part of PARTS, by (trust 1, trust 2, age 0, age 1, age 2)."""
+    n = AGES + 1
+    one, two, a, b, c = np.meshgrid(np.arange(TRUST), np.arange(TRUST), np.arange(n), np.arange(n), np.arange(n), indexing="ij")
+    worth = np.array(WORTH)
+    first, second = worth[1][b] * (1 + 2 * one), worth[2][c] * (1 + 2 * two)
+    whole = 4 * worth[0][a] + first + second
+    parts = [None, PARTS * first // whole, PARTS * second // whole]
+    parts[0] = PARTS - parts[1] - parts[2]
+    return np.stack([np.repeat(p.reshape(-1, 1).astype(np.int16), 16, 1) for p in parts])
+
+
+_MIX = _mixes()
 
 
 class Model:
+    """The orders' rows stand in one table, so that a step handles all three at once."""
+
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        # A 17th column holds each row's sum.
-        self.tables = [self.fresh(lanes, 4369), self.fresh(lanes, ORDER1), self.fresh(lanes, ORDER2)]
-        self.weights = [np.full((3, lanes), 1 / 3, np.float32) for _ in range(2)]
-        self.before = np.zeros((2, lanes), np.int64)
-
-    @staticmethod
-    def fresh(lanes: int, rows: int) -> np.ndarray:
-        out = np.ones((lanes, rows, 17), np.uint16)
-        out[:, :, 16] = 16
-        return out
+        self.lanes = lanes
+        self.flat = np.arange(lanes) * 16
+        sizes = [lanes << n for n in ROWS]
+        # A row is one element of 32 bytes, so that it is read and written at once.
+        self.table = np.tile(_FRESH, sum(sizes)).view("V32")
+        self.base = np.stack([(np.arange(lanes) << n) + sum(sizes[:o]) for o, n in enumerate(ROWS)])
+        self.drop = np.array([[32 - n] for n in ROWS], np.uint32)
+        self.steps = np.tile(_STEPS, lanes)
+        self.trust = np.full((2, lanes), 1 << 13, np.int32)  # of 1 << 15
+        self.mix = self.mixes()
+        self.hashes = np.zeros((3, lanes), np.uint32)
+        self.before = np.zeros(lanes, np.uint32)
+
+    def mixes(self) -> np.ndarray:
+        level = self.trust * TRUST >> 15
+        return (level[0] * TRUST + level[1]) << 9
 
     def bounds(self, nibble: int, sofar: np.ndarray) -> np.ndarray:
-        """(lanes, 17) cumulative frequencies, from 0 to TOTAL."""
-        rows = [_FIRST[nibble] + sofar]
-        if nibble < 2:
-            own = (sofar + 17 * nibble + 1) * 0x9E3779B1
-            one = own + self.before[0] * 0x85EBCA6B
-            rows += [(one >> 15) % ORDER1, ((one + self.before[1] * 0xC2B2AE35) >> 15) % ORDER2]
-        self.rows = rows
-        self.shares = []
-        for table, row in zip(self.tables, rows):
-            got = table[self.lane, row].astype(np.float32)
-            self.shares.append(got[:, :16] / got[:, 16:])
-        mixed = self.shares[0]
-        if nibble < 2:
-            w = self.weights[nibble]
-            mixed = w[0][:, None] * self.shares[0] + w[1][:, None] * self.shares[1] + w[2][:, None] * self.shares[2]
-        out = np.zeros((len(self.lane), 17), np.int64)
-        np.cumsum((mixed * np.float32(TOTAL - 64)).astype(np.int64) + 1, axis=1, out=out[:, 1:])
-        out[:, 16] = TOTAL
+        """16 cumulative frequencies a lane, from 0 on, in one line; what follows a lane's last is TOTAL."""
+        own = (sofar + np.uint32(1 << 4 * nibble)) * np.uint32(0x9E3779B1)
+        self.at = ((own ^ self.hashes) * np.uint32(0x85EBCA6B) >> self.drop) + self.base
+        self.rows = self.table.take(self.at).view(np.int16).reshape(3, -1)
+        self.ages = self.rows[:, ::16].astype(np.int32)
+        mix = self.mix + (self.ages[0] << 6) + (self.ages[1] << 3) + self.ages[2]
+        parts = _MIX.take(mix, axis=1).reshape(3, -1)
+        parts *= self.rows >> np.int16(6)
+        out = np.empty(16 * self.lanes + 1, np.int16)
+        mixed = out[:-1]
+        np.add(parts[0], parts[1], out=mixed)
+        mixed += parts[2]
+        mixed += self.steps
+        mixed[::16] = 0
+        out[-1] = 0
         return out
 
     def learn(self, nibble: int, symbol: np.ndarray) -> None:
-        for table, row in zip(self.tables, self.rows):
-            table[self.lane, row, symbol] += 4
-            table[self.lane, row, 16] += 4
         if nibble < 2:
-            w = self.weights[nibble]
-            for o in range(3):
-                w[o] *= self.shares[o][self.lane, symbol]
-            w /= w[0] + w[1] + w[2]
-            w *= np.float32(0.97)
-            w += np.float32(0.01)
+            place = self.flat + symbol
+            inner = symbol < 15
+            rows = self.rows[1:]  # what the two higher orders gave the nibble
+            gave = np.where(inner, rows.take(place + inner, axis=1), FULL) - rows.take(place, axis=1) * (symbol > 0)
+            self.trust += (gave.astype(np.int32) - self.trust) >> 4
+            self.mix = self.mixes()
+        move = _TARGET.take(symbol, axis=0).reshape(1, -1) - self.rows
+        move >>= _SHIFT.take(self.ages + _ORDERS * (AGES + 1), axis=0).reshape(3, -1)
+        self.rows += move
+        self.rows[:, ::16] = np.minimum(self.ages + 1, AGES)
+        self.table[self.at] = self.rows.view("V32")
 
     def next_id(self, ids: np.ndarray) -> None:
-        self.before[1] = self.before[0]
-        self.before[0] = ids
+        one = (ids + np.uint32(1)) * np.uint32(0xC2B2AE35)
+        one ^= one >> np.uint32(15)
+        two = (one ^ (self.before + np.uint32(7))) * np.uint32(0x27D4EB2F)
+        self.hashes[1:] = one, two ^ two >> np.uint32(13)
+        self.before = ids
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block (1 to BLOCK ids below 65,536)."""
-    out: list[bytes] = []
+    """The payload of each block (1 to BLOCK ids below 65,536; a larger id is an error)."""
+    if any(int(b.max()) >> 16 for b in blocks):
+        raise ValueError("an id needs more than 16 bits")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     made: dict[int, bytes] = {}
     for low in range(0, len(order), LANES):
         own = order[low : low + LANES]
         made |= zip(own, _encode([blocks[i] for i in own]), strict=True)
-    out = [made[i] for i in range(len(blocks))]
-    return out
+    return [made[i] for i in range(len(blocks))]
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     lanes, steps = len(blocks), max(map(len, blocks))
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.uint32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
     lengths = np.array([len(b) for b in blocks])
@@ -93,8 +139,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     words = np.zeros((lanes, 4 * steps + 4), np.uint32)  # 16-bit words; carries are added in later
     at = np.zeros(lanes, np.int64)
     ended = np.zeros(lanes, np.int64)
-    lane = model.lane
-    word, top = np.uint64(0xFFFF), np.uint64(1 << 32)
+    word, top, share = np.uint64(0xFFFF), np.uint64(1 << 32), np.uint64(15)
 
     def emit(which):
         words[which, at[which]] = (low[which] >> HALF).astype(np.uint32)
@@ -107,23 +152,25 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         ended[which] = at[which]
 
     for step in range(steps):
-        sofar = np.zeros(lanes, np.int64)
+        sofar = np.zeros(lanes, np.uint32)
         for nibble in range(4):
-            symbol = ids[step] >> (12 - 4 * nibble) & 15
+            symbol = ids[step] >> np.uint32(12 - 4 * nibble) & np.uint32(15)
             bounds = model.bounds(nibble, sofar)
-            a, b = bounds[lane, symbol].astype(np.uint64), bounds[lane, symbol + 1].astype(np.uint64)
-            r = width >> HALF
+            place = model.flat + symbol
+            a = bounds.take(place).astype(np.uint64)
+            b = np.where(symbol == 15, np.uint64(TOTAL), bounds.take(place + 1).astype(np.uint64))
+            r = width >> share
             low += r * a
             width = r * (b - a)
             carry = np.flatnonzero(low >= top)
             if len(carry):
                 words[carry, at[carry] - 1] += 1
                 low[carry] -= top
-            small = np.flatnonzero(width < TOTAL)
+            small = np.flatnonzero(width < 1 << 16)
             emit(small)
             width[small] <<= HALF
             model.learn(nibble, symbol)
-            sofar = sofar * 16 + symbol
+            sofar = sofar * np.uint32(16) + symbol
         model.next_id(ids[step])
         done = np.flatnonzero(lengths == step + 1)
         if len(done):
@@ -153,26 +200,29 @@ def _decode(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     for i, p in enumerate(payloads):
         words[i, : len(p) // 2] = np.frombuffer(p, "<u2")
     model = Model(lanes)
-    lane = model.lane
     code = words[:, 0] << HALF | words[:, 1]
     width, at = np.full(lanes, 1 << 32, np.uint64), np.full(lanes, 2)
-    out = np.zeros((lanes, steps), np.uint16)
+    share = np.uint64(15)
+    out = np.zeros((steps, lanes), np.uint16)
     for step in range(steps):
-        sofar = np.zeros(lanes, np.int64)
+        sofar = np.zeros(lanes, np.uint32)
         for nibble in range(4):
             bounds = model.bounds(nibble, sofar)
-            r = width >> HALF
-            t = np.minimum(code // r, TOTAL - 1).astype(np.int64)
-            symbol = (bounds[:, 1:16] <= t[:, None]).sum(1)
-            a, b = bounds[lane, symbol].astype(np.uint64), bounds[lane, symbol + 1].astype(np.uint64)
+            r = width >> share
+            t = np.minimum(code // r, TOTAL - 1).astype(np.int16)
+            below = np.bitwise_count((bounds[:-1].reshape(-1, 16) <= t[:, None]).view(np.uint64))
+            symbol = (below[:, 0] + below[:, 1]).astype(np.uint32) - np.uint32(1)
+            place = model.flat + symbol
+            a = bounds.take(place).astype(np.uint64)
+            b = np.where(symbol == 15, np.uint64(TOTAL), bounds.take(place + 1).astype(np.uint64))
             code -= r * a
             width = r * (b - a)
-            small = np.flatnonzero(width < TOTAL)
+            small = np.flatnonzero(width < 1 << 16)
             code[small] = code[small] << HALF | words[small, np.minimum(at[small], size - 1)]
             at[small] += 1
             width[small] <<= HALF
             model.learn(nibble, symbol)
-            sofar = sofar * 16 + symbol
+            sofar = sofar * np.uint32(16) + symbol
         model.next_id(sofar)
-        out[:, step] = sofar
-    return [out[i, : lengths[i]] for i in range(lanes)]
+        out[step] = sofar
+    return [out[: lengths[i], i] for i in range(lanes)]
