@@ -333,7 +333,7 @@ def test_pipeline(spark, docs, folder):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, folder)
     assert {"doc_id", "sequence_id", "ids"}.issubset(out.columns)
-    assert 0 not in {r.doc_id for r in out.collect()} or True
+    assert out.count() > 0
     now = docs.drop("rid")
     for _, stage in pipeline.STAGES[:-1]:
         now = stage(spark, now, folder)
