@@ -85,7 +85,7 @@ def test_suffix(spark, folder, monkeypatch, hot):
         m = covered(b, 400, count)
         left = bytes(x for x, gone in zip(b, m) if not gone)
         want.append((i, len(b), sum(m), sum(1 for k, x in enumerate(m) if x and (k == 0 or not m[k - 1])), hashlib.sha256(left).hexdigest()))
-    same(suffix.query(spark, folder), want)
+    same(suffix.query(spark, folder).drop("n_passage_words"), want)  # that column: test_methods.py
 
 
 def test_suffix_array():
