@@ -47,6 +47,13 @@ def spaced(text: str) -> bool:
 
 
 _SPACED = re.compile(r"\s[^\S \n]|[^\S \n]\s").search
+
+
+def separated(text: str) -> bool:
+    """Whether a control sign stands in the text that some hold for white space."""
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 #: Latin letters but for the one whose lower case is two characters, and ASCII signs but for the apostrophe, which both
 #: patterns treat by itself; for use in brackets.
 _LATIN, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"!-&(-/:-@\[-`{-~"
@@ -156,7 +163,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(place(name, folder))
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = name.startswith("byte")
-        self.odd = spaced if self.bytes else re.compile("[\x1c-\x1f]").search
+        self.odd = spaced if self.bytes else separated
         self.split = regex.compile(BYTE_PATTERN if self.bytes else r"[^\x20\x09-\x0D]+").findall
         # The vocabulary's merges alone, for words that are split and spelled here.
         self.merges = Tokenizer(self.tokenizer.model)

@@ -30,7 +30,7 @@ from relictum.llm.tokens import encoder, groups
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 HEAD, PIECE = struct.Struct("<4sHHIII"), struct.Struct("<qIQQI")
-MAGIC, VERSION = b"RLTK", 1
+MAGIC, VERSION = b"RLTK", 2
 
 
 def write_block(ids: np.ndarray, pieces: list[tuple], payload: bytes) -> bytes:
@@ -112,25 +112,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
 
 
 def combine(crcs: list[int], lengths: list[int]) -> int:
-    """crc32 of a concatenation, from the parts' crc32 and byte lengths (arithmetic modulo the CRC's polynomial)."""
+    """crc32 of a concatenation, from the parts' crc32 and byte lengths. Bytes move a CRC on by what zeros would, xor what they are
+    alone beside zeros."""
     out = crcs[0]
     for crc, n in zip(crcs[1:], lengths[1:], strict=True):
-        factor, base = 1 << 31, 1 << 23  # 1 and x**8, bits reversed
-        while n:
-            if n & 1:
-                factor = _times(factor, base)
-            base = _times(base, base)
-            n >>= 1
-        out = _times(factor, out) ^ crc
-    return out
-
-
-def _times(a: int, b: int) -> int:
-    out = 0
-    for bit in range(31, -1, -1):
-        if a >> bit & 1:
-            out ^= b
-        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        zeros = bytes(n)
+        out = zlib.crc32(zeros, out) ^ zlib.crc32(zeros) ^ crc
     return out
 
 
@@ -169,9 +156,13 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(2).to_pylist()
-            n = [sum(x["n"] for x in v) for v in own]
-            crc = [v[0]["crc"] if len(v) == 1 else combine([x["crc"] for x in v], [4 * x["n"] for x in v]) for v in own]
+            first = batch.column(2).offsets.to_numpy()
+            first = first - first[0]
+            _, sizes, crcs = (x.to_numpy() for x in batch.column(2).flatten().flatten())
+            n, crc = np.add.reduceat(sizes, first[:-1]), crcs[first[:-1]]
+            for i in np.flatnonzero(np.diff(first) > 1):
+                own = slice(first[i], first[i + 1])
+                crc[i] = combine(crcs[own].tolist(), (4 * sizes[own]).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

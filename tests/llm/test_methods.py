@@ -193,6 +193,31 @@ def test_ids_beyond_16_bits_are_refused_at_writing():
         coder.encode([np.array([3, 1 << 16], np.uint32)])
 
 
+def test_an_id_takes_one_step_of_the_model(monkeypatch):
+    """And blocks of any length, new ids to the last symbol, runs and alternations come back whole; few ids are coded in few bits."""
+    steps = []
+    expect = coder.Model.expect
+    monkeypatch.setattr(coder.Model, "expect", lambda model: (steps.append(1), expect(model))[1])
+    rng = np.random.default_rng(4)
+    blocks = [rng.permutation(65536)[: coder.BLOCK], np.arange(coder.BLOCK) % 2, np.full(1500, 65535), np.array([0]), rng.integers(0, 300, 1500)]
+    blocks += [rng.integers(0, int(rng.choice([2, 50, 2000, 65536])), int(n)) for n in rng.integers(1, coder.BLOCK, 30)]
+    raws = coder.encode(blocks)
+    assert len(steps) == coder.BLOCK
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, coder.decode(raws, list(map(len, blocks))), strict=True))
+    assert len(steps) == 2 * coder.BLOCK
+    assert len(raws[1]) < 16 and len(raws[2]) < 16 and 8 * len(raws[4]) < 11 * 1500
+
+
+def test_shares_of_the_mix_stay_within_their_fields():
+    rng = np.random.default_rng(5)
+    for row in coder._rows().tolist():
+        for round in range(6):
+            for came in rng.choice([round % 5, *range(5)], 500, p=[0.8, *[0.04] * 5]).tolist():
+                row += -(row >> coder.SHIFT & coder._GIVEN) + int(coder._CAME[came])
+                fields = [row >> 16 * i & coder._FIELD for i in range(3)]
+                assert row >> 48 == 0 and min(fields) > 30 and sum(fields) < (1 << coder.MIX) - 128
+
+
 def test_new_words_are_split_as_the_tokenizer_splits_them():
     rng = random.Random(5)
     bits = ["a", "B", "é", "Ö", "ß", "1", "23", "'s", "'", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", ",", ".", "!!", "#%", "—", "日本", "İ", "ǅ", "ﬁ", "é", " ", "\x1c", "×", "word", " the", "\r\n", "ΑΣ", "𝒳", "٣", "\x7f", "\x00"]
